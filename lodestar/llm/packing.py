@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 SEQUENCE = 2048
 #: Bins open at once, and pieces sorted together.
 OPEN_BINS, BLOCK = 16_384, 16_384
@@ -171,6 +173,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, o
     """
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {PACKED}" + ", ids array<long>" * with_ids
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

@@ -32,6 +32,21 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_docs(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score, training_rows
+
+    docs = _docs(spark, sf_dir)
+    out = score(docs, fit(*training_rows(docs, _labels(spark, sf_dir))))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import classify
+
+    return classify(_docs(spark, sf_dir), _labels(spark, sf_dir), keep=("doc_id",))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -46,5 +61,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(docs.select("doc_id", "text"), rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op9_sharding, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_toxicity, op7_quality_classifier, op9_sharding, op10_quality_rules)}
 ORACLES: dict[str, str] = {}

@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import Scratch, components
 
 BITS, BYTES, MAX_BITS = 64, 8, 2
@@ -57,6 +58,8 @@ def with_fingerprint(docs: DataFrame, text: str = "text", words: int = WORDS, ke
     """``keep`` columns and ``fp`` (the fingerprint's bits as a signed long). One row for each row."""
     schema = docs.select(*keep).schema.add("fp", "long")
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), words) for t in b.column(len(keep))], dtype=np.uint64).view(np.int64)
