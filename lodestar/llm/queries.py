@@ -41,12 +41,24 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import round_trip
+
+    return round_trip(_docs(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import classify
 
     return classify(_docs(spark, sf_dir), _labels(spark, sf_dir), keep=("doc_id",))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_vectors
+
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -61,5 +73,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(docs.select("doc_id", "text"), rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_toxicity, op7_quality_classifier, op9_sharding, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_toxicity, op4_sentencepiece, op7_quality_classifier, op8_embeddings, op9_sharding, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
