@@ -60,36 +60,36 @@ def fit(texts: list[str | None], toxic: list[int], min_docs: int = 3, steps: int
     flat: list[np.ndarray] = []
     lengths: list[int] = []
     sentences: list[int] = []
+    docs_of = np.zeros(1 << SPACE_BITS, np.int32)
     for t in texts:
-        n = 0
-        for s in SENTENCE.findall(t or ""):
+        n = len(flat)
+        for sent in SENTENCE.findall(t or ""):
             ids: set[int] = set()
-            for tok in s.split():
+            for tok in sent.split():
                 f = cache.get(tok)
                 if f is None:
                     f = cache[tok] = token_features(tok)
                 ids.update(f)
             if ids:
                 flat.append(np.fromiter(ids, np.int32, len(ids)))
-                lengths.append(len(ids))
-                n += 1
-        sentences.append(n)
+        lengths.extend(map(len, flat[n:]))
+        sentences.append(len(flat) - n)
+        if len(flat) > n:
+            docs_of[np.unique(np.concatenate(flat[n:]))] += 1
     cache.clear()
     keep = np.array(sentences) > 0
     y, per_doc = y[keep], np.array(sentences)[keep]
     if not len(y) or y.sum() == 0:
         return none
     ids, lengths = np.concatenate(flat), np.array(lengths)
-    del flat
+    flat.clear()
     sent_doc = np.repeat(np.arange(len(per_doc)), per_doc)
     # A feature counts if enough documents have it: rare ones would only learn their document by heart.
-    order = np.unique(ids.astype(np.int64) * len(per_doc) + np.repeat(sent_doc, lengths))
-    docs_of = np.bincount(order // len(per_doc), minlength=1 << SPACE_BITS)
-    del order
     known = np.flatnonzero(docs_of >= min_docs)
     to = np.full(1 << SPACE_BITS, -1, np.int32)
     to[known] = np.arange(len(known), dtype=np.int32)
     col, row = to[ids], np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    del ids
     row, col = row[col >= 0], col[col >= 0]
     if not len(known):
         return none
@@ -111,7 +111,7 @@ def fit(texts: list[str | None], toxic: list[int], min_docs: int = 3, steps: int
     return ToxicityModel(known[w > 0], w[w > 0], float(b))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max_chars: int = 30_000_000, label: str = "toxic") -> tuple[list, list]:
+def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = 6_000, max_chars: int = 14_000_000, label: str = "toxic") -> tuple[list, list]:
     """Texts and labels of at most about ``max_labelled`` labelled rows outside the held-out fifth and ``max_chars``.
 
     The held-out fifth are ids whose crc32 as text is a multiple of 5; they never reach the fit. The bounds limit the
