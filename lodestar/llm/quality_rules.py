@@ -182,4 +182,7 @@ def rules_column(rules: list[Rule]) -> Column:
 def apply_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """``docs`` with the statistics, base_failed, rule (0: none) and kept."""
     out = text_statistics(docs).withColumn("base_failed", base_failed()).withColumn("rule", rules_column(rules))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    # A filter on kept must not move below the statistics: their arrays would be built again inside its lambdas. The
+    # optimizer leaves filters on a column alone that it takes for non-deterministic.
+    here = F.monotonically_increasing_id() >= 0
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0) & here)
