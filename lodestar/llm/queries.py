@@ -47,6 +47,12 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_docs(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op5_substring_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chaining import passages
+
+    return passages(_docs(spark, sf_dir))
+
+
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_exact import remove_repeats
 
@@ -79,5 +85,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(docs.select("doc_id", "text"), rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_toxicity, op4_sentencepiece, op6_suffix_array, op7_quality_classifier, op8_embeddings, op9_sharding, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_toxicity, op4_sentencepiece, op5_substring_chaining, op6_suffix_array, op7_quality_classifier, op8_embeddings, op9_sharding, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
