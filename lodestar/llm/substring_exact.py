@@ -245,11 +245,17 @@ def _resolve(parts: DataFrame, scratch: Scratch) -> DataFrame:
         cells = cells.unionByName(hot.join(count.where(F.col("d") <= MAX_CELL).select("cell"), "cell").select("h", "f", "l", "r", "cell"))
         last = hot.join(count.where(F.col("d") > MAX_CELL).select("cell"), "cell")
         if not last.isEmpty():
-            last = last.select("h", "f", "l", "r", F.explode(F.sequence(F.col("a"), F.least(F.lit(REACH), F.col("a") + SLICE - 1))).alias("k"))
-            last = last.where((F.octet_length("l") >= F.col("k")) & (F.octet_length("r") >= REACH - F.col("k")))
-            last = scratch.save(last.select("h", "f", "k", F.sha2(F.concat(F.substring("l", F.lit(1), F.col("k")), F.substring("r", F.lit(1), REACH - F.col("k"))), 256).alias("s")))
-            twice = scratch.save(last.groupBy("h", "k", "s").count().where("count > 1").select("h", "k", "s"))
-            found.append(last.join(twice, ["h", "k", "s"]).select("h", "f", F.col("k").alias("left"), (LENGTH - F.col("k")).alias("right")))
+            # Only the bytes that the cell's strings can reach count from here on; surroundings equal in them are one.
+            last = last.withColumn("l", F.substring("l", F.lit(1), F.col("a") + SLICE - 1)).withColumn("r", F.substring("r", F.lit(1), REACH - F.col("a")))
+            last = scratch.save(last.select("h", "f", "cell", "a", "l", "r", F.xxhash64("cell", "l", "r").alias("part")))
+            part = scratch.save(last.groupBy("part").agg(F.count("*").alias("m"), *[F.min(c).alias(c) for c in ("cell", "a", "l", "r")]))
+            reach = part.where("m > 1").select("part", F.octet_length("l").alias("left"), (F.octet_length("r") + GRAM).alias("right"))
+            each = part.select("part", "cell", "m", "l", "r", F.explode(F.sequence(F.col("a"), F.least(F.lit(REACH), F.col("a") + SLICE - 1))).alias("k"))
+            each = each.where((F.octet_length("l") >= F.col("k")) & (F.octet_length("r") >= REACH - F.col("k")))
+            each = scratch.save(each.select("part", "m", F.xxhash64("cell", "k").alias("place"), "k", F.sha2(F.concat(F.substring("l", F.lit(1), F.col("k")), F.substring("r", F.lit(1), REACH - F.col("k"))), 256).alias("s")))
+            twice = scratch.save(each.groupBy("place", "s").agg(F.sum("m").alias("c")).where("c > 1").select("place", "s"))
+            lone = each.where("m = 1").join(twice, ["place", "s"]).groupBy("part").agg(F.max("k").alias("left"), F.max(LENGTH - F.col("k")).alias("right"))
+            found.append(last.select("h", "f", "part").join(scratch.save(reach.unionByName(lone)), "part").select("h", "f", "left", "right"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wait: list[pa.RecordBatch] = []
