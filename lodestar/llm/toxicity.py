@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import ship
 from .common import Scratch
@@ -140,7 +141,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple
     """
     schema = docs.select(*keep).schema.add("score", "double")
     if locate:
-        schema = schema.add("offending", "array<struct<start:int,end:int,score:double>>")
+        schema = schema.add("offending", T.ArrayType(T.StructType().add("start", "int").add("end", "int").add("score", "double")))
     shared = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.bias))
 
     ship(docs.sparkSession)
