@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracles import ORACLES as ORACLES
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -86,4 +88,3 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_toxicity, op4_sentencepiece, op5_substring_chaining, op6_suffix_array, op7_quality_classifier, op8_embeddings, op9_sharding, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
