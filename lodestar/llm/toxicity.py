@@ -141,7 +141,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple
     """
     schema = docs.select(*keep).schema.add("score", "double")
     if locate:
-        schema = schema.add("offending", T.ArrayType(T.StructType().add("start", "int").add("end", "int").add("score", "double")))
+        schema = schema.add("offending", T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("score", "double")))
     shared = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.bias))
 
     ship(docs.sparkSession)
