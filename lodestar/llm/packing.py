@@ -106,9 +106,6 @@ class CachedTokenizer:
         return self.split(low)
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.words) + len(self.chunks) > 2 * self.max_words:
-            self.words.clear()
-            self.chunks.clear()
         parts = {c: self._parts(c) for c in chunks}
         new = list({w for p in parts.values() for w in p if w not in self.words})
         for at in range(0, len(new), 50_000):
@@ -125,18 +122,13 @@ class CachedTokenizer:
     def encode_bytes(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         split = [t.split() for t in texts]
+        if len(self.words) + len(self.chunks) > 2 * self.max_words:
+            self.words.clear()
+            self.chunks.clear()
         known = self.chunks
-        missing: set[str] = set()
-        for s in split:
-            missing.update(s)
-        missing.difference_update(known)
+        missing = {c for s in split for c in s if c not in known}
         if missing:
             self._learn(missing)
-            if len(known) < len(missing):
-                known = self.chunks
-            lost = {c for s in split for c in s if c not in known} if len(known) <= len(missing) else ()
-            if lost:
-                self._learn_more(lost)
         get = known.__getitem__
         out = [b"".join(map(get, s)) for s in split]
         for i, t in enumerate(texts):
@@ -144,11 +136,6 @@ class CachedTokenizer:
                 out[i] = np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
-    def _learn_more(self, chunks: set[str]) -> None:
-        keep, self.max_words = self.max_words, 1 << 60
-        self._learn(chunks)
-        self.max_words = keep
-
 
 _TOKENIZERS: dict[str, CachedTokenizer] = {}
 

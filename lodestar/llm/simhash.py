@@ -136,8 +136,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = WORDS, max
 def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **kw) -> DataFrame:
     """``docs`` without near-duplicates: of each component the row with its smallest id stays.
 
-    Repeated rows of that id are one row afterwards if all their columns are equal, else the first by text. Rows
-    whose component has no id at all stay. Columns are those of ``docs``.
+    Of repeated rows with that id the first by text stays. Rows with a null id name no component and all stay.
+    Columns are those of ``docs``.
     """
     found = near_duplicates(docs, text, keep=(id_col,), id_col=id_col, **kw)
     best = found.where(f"{id_col} = component_id").select(F.col(id_col).alias("_keep_id")).distinct()
