@@ -167,6 +167,7 @@ def classify(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] | None =
     keep = tuple(c for c in keep if c not in ("evidence", "site_rate", "quality", "kept"))
     model = fit(*labelled_features(docs, labels, max_labelled))
     needed = [*dict.fromkeys((*keep, host, path, "text"))]
+    # Sites and evidence only, and what is kept: texts are written again only if they are among it.
     scored = with_evidence(docs.select(*needed), model).select(*dict.fromkeys((*keep, host, path)), "evidence")
     out = posterior(scratch.save(scored), scratch, host, path)
     return out.select(*keep, "evidence", "site_rate", "quality", (F.col("quality") >= threshold).alias("kept"))
