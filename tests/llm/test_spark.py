@@ -359,3 +359,16 @@ def test_pipeline_runs(spark, tmp_path):
     spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} >= set(range(60)) and not {60, 61, 63, 64} & {r.doc_id for r in got}
+
+
+def test_stages_leave_clashing_columns_alone(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 60), "en", "s", None, -1, "k", -2) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_words long, kept string, n_bytes long")
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        assert {(r.n_words, r.kept, r.n_bytes) for r in out.collect()} == {(-1, "k", -2)} and out.count() == 30
