@@ -13,7 +13,7 @@ exactly if they share such a key, and no key has more than 33 members, so this w
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -133,13 +133,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = WORDS, max
     return out.select(*keep, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")
 
 
-def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **kw) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the row with its smallest id stays.
+def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", find: Callable[..., DataFrame] = near_duplicates, **kw) -> DataFrame:
+    """``docs`` without the near-duplicates that ``find`` joins: of each component the row with its smallest id stays.
 
     Of repeated rows with that id the first by text stays. Rows with a null id name no component and all stay.
     Columns are those of ``docs``.
     """
-    found = near_duplicates(docs, text, keep=(id_col,), id_col=id_col, **kw)
+    found = find(docs, text, keep=(id_col,), id_col=id_col, **kw)
     best = found.where(f"{id_col} = component_id").select(F.col(id_col).alias("_keep_id")).distinct()
     kept = docs.join(best, F.col(id_col) == F.col("_keep_id"), "left_semi")
     from pyspark.sql import Window

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import chaining, packing, pieces, quality_classifier, quality_rules, sharding, simhash, substring_exact, toxicity, vectors
+from lodestar.llm import chaining, near_copies, packing, pieces, quality_classifier, quality_rules, sharding, simhash, substring_exact, toxicity, vectors
 from lodestar.llm.common import Scratch, components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, h long, size long, label int, n_words long, shard int"
@@ -361,6 +361,36 @@ def test_pipeline_runs(spark, tmp_path):
     assert {r.doc_id for r in got} >= set(range(60)) and not {60, 61, 63, 64} & {r.doc_id for r in got}
 
 
+@pytest.mark.parametrize("posting", [32, 2])
+def test_near_dedup_stage_drops_verified_near_copies(spark, posting, monkeypatch):
+    """Copies of similarity 0.8 to 0.95 go, texts below 0.8 stay."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    docs, copies = [prose(rng, 300, 3000) for _ in range(24)], set()
+    sets = [near_copies.shingles(d.lower().encode().split()) for d in docs]
+    for i in range(24):
+        for edits in (3, 6, 15 if i % 2 else 30):
+            w = docs[i].split()
+            for k in range(edits):
+                w[(k * len(w)) // edits + 2] = f"edit{i}x{k}"
+            docs.append(" ".join(w))
+            sets.append(near_copies.shingles(docs[-1].lower().encode().split()))
+            if near_copies.similarity(sets[i], sets[-1]) >= 0.8:
+                copies.add(len(docs) - 1)
+    low = [near_copies.similarity(sets[i], sets[j]) for i in range(24) for j in copies if (j - 24) // 3 == i]
+    assert len(copies) >= 48 and min(low) < 0.85 and max(low) > 0.9
+    links = {(i, j) for i in range(len(docs)) for j in range(i) if near_copies.similarity(sets[i], sets[j]) >= 0.8}
+    first = list(range(len(docs)))
+    for _ in range(4):
+        for i, j in links:
+            first[i] = first[j] = min(first[i], first[j])
+    monkeypatch.setattr(near_copies.near_copies, "__defaults__", tuple(posting if d == 32 else d for d in near_copies.near_copies.__defaults__))
+    df = spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.simhash(spark, df, "").collect()} == {i for i in range(len(docs)) if first[i] == i}
+    assert corpus_pipeline.simhash(spark, df.limit(0), "").count() == 0
+
+
 def test_stages_leave_clashing_columns_alone(spark, tmp_path):
     import corpus_pipeline
 
