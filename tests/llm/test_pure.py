@@ -235,3 +235,12 @@ def test_toxicity_learns_from_documents_and_locates():
     assert len(toxicity.fit([], []).features) == 0
     assert len(toxicity.fit(["a"], [0]).features) == 0
     assert zlib.crc32(b"0") % 5 in range(5)
+
+
+def test_matched_words_are_a_longest_common_subsequence():
+    rng = random.Random(9)
+    for _ in range(200):
+        x, y = ([rng.randrange(6) for _ in range(rng.randrange(40))] for _ in range(2))
+        got = chaining.matched(x, y, step=7)
+        assert len(got) == chaining.common_words(x, y) and all(x[i] == y[j] for i, j in got)
+        assert all(a < c and b < d for (a, b), (c, d) in zip(got, got[1:], strict=False))
