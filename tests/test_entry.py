@@ -21,6 +21,12 @@ def test_entry(spark):
     assert df.columns == ["qid", "rank", "vec_id", "dist"] and df.count() == 500
 
 
+def test_index_recall_is_production_grade(spark):
+    from lodestar.plans import catalogue
+
+    assert catalogue.QUERIES["index_recall"](spark, SF).first().recall >= 0.9
+
+
 def _names():
     from lodestar.plans import catalogue
 
