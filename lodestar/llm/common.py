@@ -5,7 +5,12 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +19,23 @@ SPACE = " \t\n\x0b\f\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only if the session names none."""
+    """The folder that driver and executors share, as the session names it.
+
+    Where it names none, a local master gets a folder of its own on its one machine; on a cluster that is an error.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="lodestar-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place
+    if place:
+        return place
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return own_dir()
+
+
+@cache
+def own_dir() -> str:
+    """A temporary folder of this process, for sessions that run in it alone."""
+    return "file://" + tempfile.mkdtemp(prefix="lodestar-")
 
 
 class Scratch:
@@ -54,6 +70,18 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def text_blocks(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of runs of rows with up to about ``most`` bytes, one row at least, nulls as empty texts."""
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, texts.slice(at, stop - at)
+        at = stop
+
+
 def words_of(text: Column) -> Column:
     """Maximal runs of anything but ASCII white space; null and empty texts give an empty array."""
     clean = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACE))

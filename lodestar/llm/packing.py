@@ -1,28 +1,32 @@
 """Best-fit packing: bounded-space online best-fit over token counts.
 
-Each task packs the documents that it reads, without a shuffle. A fixed number of bins is open; a bitset has bit ``f``
-set while an open bin has ``f`` free places, so the tightest bin that fits is the lowest set bit at or above the piece's
-length. When too many bins are open the fullest closes first. Pieces come in blocks of a fixed number, longest first, so
-that short ones fill what long ones leave.
+Texts become pieces of token ids where they lie; pieces alone, without their ids, are then dealt to packing tasks of about
+``TASK_PIECES`` each, however many partitions the texts had. A packing task takes its pieces one at a time, in the order of
+a hash, and never moves one again. A fixed number of bins is open; a bitset has bit ``f`` set while an open bin has ``f``
+free places, so the tightest bin that fits is the lowest set bit at or above the piece's length. When too many bins are
+open the fullest closes first.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .common import Scratch, text_blocks
 
 SEQUENCE = 2048
-#: Bins open at once, and pieces sorted together.
-OPEN_BINS, BLOCK = 16_384, 16_384
+#: Bins open at once, and pieces that one packing task takes.
+OPEN_BINS, TASK_PIECES = 1024, 1 << 18
 
 
 class OpenBins:
@@ -43,7 +47,7 @@ class OpenBins:
         else:
             which, free = self.made, self.size
             self.made += 1
-            if self.open == self.limit:
+            if self.open == self.limit and length < free:
                 self._take((self.bits & -self.bits).bit_length() - 1)
         if left := free - length:
             self.stacks[left].append(which)
@@ -60,140 +64,166 @@ class OpenBins:
         return which
 
 
-class CachedTokenizer:
-    """Ids of a tokenizers file for whole texts, word by word, with the words' ids kept.
+#: Letters whose normal form and lower case are one letter each, and ASCII signs.
+_LETTER, _SIGN = "[A-Za-zÀ-ÖØ-öø-įı-ɏ]", "[!-/:-@\\[-`{-~]"
 
-    Made for the files whose model splits at white space into runs of letters, single numbers and runs of other signs,
-    each word ending in ``</w>``: there the ids of a text are those of its words in order. New words go through the
-    library's own model in one call for each block. Texts with strings of the file's special tokens or with control
-    characters that only Python counts as white space go through the whole tokenizer.
+
+class ChunkTokenizer:
+    """Ids of a tokenizers file for whole texts, from the ids of their distinct chunks.
+
+    A chunk is what lies between white space. Made for the files whose model drops white space and splits the rest into
+    runs of letters, single numbers and runs of other signs, each such word ending in ``</w>``: there a text's ids are
+    those of its chunks in order. All ids come from the library. Chunks of Latin letters, of ASCII signs, or of letters
+    before signs go to its model in lower case and joined by spaces, for their words can be counted; every other chunk
+    goes alone through the whole file; and so does, as a whole, a text with one of the four characters that only Arrow
+    counts as white space. Ids of up to ``max_chunks`` chunks of up to ``max_length`` bytes are kept, as two columns;
+    when there are more, those that the present block met again stay.
     """
 
-    def __init__(self, path: str, max_words: int = 600_000):
-        import regex
+    def __init__(self, path: str, max_chunks: int = 600_000, max_length: int = 48):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks fill the cores
         self.whole = Tokenizer.from_file(path)
         spec = json.loads(self.whole.to_str())
-        self.special = tuple(x["content"] for x in spec["added_tokens"])
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.split = regex.compile(pattern).findall
-        self.odd = regex.compile("[\x1c-\x1f]").search
         vocab = spec["model"]["vocab"]
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
         spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "decoder": None}
         self.model = Tokenizer.from_str(json.dumps(spec))
         # The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for the signs from 256 on.
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in set(plain)]
-        self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
-        self.max_words = max_words
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-
-    def _parts(self, chunk: str) -> list[str]:
-        if chunk.isascii():
-            low = chunk.lower()
-            if low.isalpha():
-                return [low]
-            if low[:-1].isalpha() and not low[-1].isalnum():
-                return [low[:-1], low[-1]]
-        else:
-            low = self.whole.normalizer.normalize_str(chunk)
-            if low.isalpha():
-                return [low]
-        return self.split(low)
-
-    def _learn(self, chunks: set[str]) -> None:
-        parts = {c: self._parts(c) for c in chunks}
-        new = list({w for p in parts.values() for w in p if w not in self.words})
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            text = [w if w.isascii() else w.encode().decode("latin-1").translate(self.alphabet) for w in some]
-            groups = [" ".join(text[i : i + 500]) for i in range(0, len(text), 500)]
-            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(groups, add_special_tokens=False)])
-            data, cut = ids.astype("<u4").tobytes(), [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-            if len(cut) != len(some) + 1:
-                raise ValueError("the model does not end each word once")
-            self.words.update(zip(some, (data[i:j] for i, j in zip(cut, cut[1:])), strict=False))
-        self.chunks.update((c, b"".join([self.words[w] for w in p])) for c, p in parts.items())
-
-    def encode_bytes(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [t.split() for t in texts]
-        if len(self.words) + len(self.chunks) > 2 * self.max_words:
-            self.words.clear()
-            self.chunks.clear()
-        known = self.chunks
-        missing = {c for s in split for c in s if c not in known}
-        if missing:
-            self._learn(missing)
-        get = known.__getitem__
-        out = [b"".join(map(get, s)) for s in split]
-        for i, t in enumerate(texts):
-            if self.odd(t) or any(x in t for x in self.special):
-                out[i] = np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.alphabet = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in plain) if b != 32}
+        self.max_chunks, self.max_length = max_chunks, max_length
+        self.chunks, self.values = pa.array([], pa.string()), pa.array([], pa.large_binary())
+
+    def _learn(self, chunks: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """The chunks in another order, and the ids of each."""
+        one, two = pc.match_substring_regex(chunks, f"^(?:{_LETTER}+|{_SIGN}+)$"), pc.match_substring_regex(chunks, f"^{_LETTER}+{_SIGN}+$")
+        ascii = pc.string_is_ascii(chunks)
+        names, values = [], []
+        for which, words in ((one, 1), (two, 2)):
+            for same in (ascii, pc.invert(ascii)):
+                plain = chunks.filter(pc.and_(which, same))
+                if not len(plain):
+                    continue
+                spaced = plain if words == 1 else pc.replace_substring_regex(plain, f"^({_LETTER}+)", "\\1 ")
+                cut = pa.array([*range(0, len(plain), 200), len(plain)], pa.int32())
+                texts = [t.lower() for t in pc.binary_join(pa.ListArray.from_arrays(cut, spaced), " ").to_pylist()]
+                if same is not ascii:
+                    texts = [t.encode().decode("latin-1").translate(self.alphabet) for t in texts]
+                ids = np.concatenate([np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)])
+                ends = np.flatnonzero(self.ends[ids]) + 1
+                if len(ends) != words * len(plain):
+                    raise ValueError("the model does not end each word once")
+                at = np.concatenate([[0], 4 * ends[words - 1 :: words]])
+                names.append(plain)
+                values.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(plain), [None, pa.py_buffer(at), pa.py_buffer(ids)]))
+        odd = chunks.filter(pc.invert(pc.or_(one, two)))
+        for at in range(0, len(odd), 10_000):
+            names.append(odd[at : at + 10_000])
+            values.append(pa.array([np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(names[-1].to_pylist(), add_special_tokens=False)], pa.large_binary()))
+        return pa.concat_arrays(names), pa.concat_arrays(values)
+
+    def _chunk_ids(self, chunks: pa.Array) -> pa.Array:
+        at = pc.index_in(chunks, self.chunks)
+        if not at.null_count:
+            return self.values.take(at)
+        names, ids = self._learn(chunks.filter(pc.is_null(at)))
+        out = pc.if_else(pc.is_null(at), pc.add(pc.index_in(chunks, names), len(self.values)), at)
+        out = pa.concat_arrays([self.values, ids]).take(out)
+        if len(self.chunks) + len(names) > self.max_chunks:
+            met = pc.drop_null(at)
+            self.chunks, self.values = self.chunks.take(met), self.values.take(met)
+        keep = pc.less_equal(pc.binary_length(names), self.max_length)
+        room = max(0, self.max_chunks - len(self.chunks))
+        self.chunks = pa.concat_arrays([self.chunks, names.filter(keep)[:room]])
+        self.values = pa.concat_arrays([self.values, ids.filter(keep)[:room]])
         return out
 
-
-_TOKENIZERS: dict[str, CachedTokenizer] = {}
-
-
-def tokenizer(path: str) -> CachedTokenizer:
-    """One for each worker process and file, so that later tasks of the worker find its words."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's ids begin, with the end of the last."""
+        split = pc.utf8_split_whitespace(texts)
+        tokens = split.flatten().dictionary_encode()
+        ids = self._chunk_ids(tokens.dictionary).take(tokens.indices)
+        counts = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))])
+        at = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        data = np.frombuffer(ids.buffers()[2] or b"", "<u4") if len(ids) else np.zeros(0, "<u4")
+        cut = at[counts] // 4
+        odd = np.flatnonzero(pc.match_substring_regex(texts, "[\\x1c-\\x1f]").to_numpy(zero_copy_only=False))
+        if len(odd):
+            parts = [data[i:j] for i, j in zip(cut, cut[1:], strict=False)]
+            for i in odd.tolist():
+                parts[i] = np.array(self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4")
+            data, cut = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        return data, cut
+
+
+_TOKENIZERS: dict[str, ChunkTokenizer] = {}
+
+
+def tokenizer(path: str) -> ChunkTokenizer:
+    """One for each worker process and file, so that later tasks of the worker find its chunks."""
     if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = CachedTokenizer(path)
+        _TOKENIZERS[path] = ChunkTokenizer(path)
     return _TOKENIZERS[path]
 
 
 PACKED = "piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, open_bins: int = OPEN_BINS, block: int = BLOCK, end_id: int = 0, text: str = "text", id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, end_id: int = 0, text: str = "text", id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """(_id, piece, start, length, ids_crc32) and, with ``with_ids``, ``_ids``: the pieces of each document, little-endian."""
+    ship(docs.sparkSession)
+    schema = f"_id {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", _ids binary" * with_ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = tokenizer(tokenizer_path)
+        end = np.array([end_id], "<u4").tobytes()
+        for b in batches:
+            for at, texts in text_blocks(b.column(1), 8_000_000):
+                row, piece, start, length, crc, kept = [], [], [], [], [], []
+                data, cut = tok.encode(texts)
+                for i, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False)):
+                    ids = data[lo:hi].tobytes() + end
+                    for n, s in enumerate(range(0, len(ids) // 4, size)):
+                        part = ids[4 * s : 4 * (s + size)]
+                        row.append(at + i)
+                        piece.append(n)
+                        start.append(s)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
+                        if with_ids:
+                            kept.append(part)
+                cols = [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc))]
+                yield pa.RecordBatch.from_arrays([*cols, *[pa.array(kept, pa.binary())] * with_ids], names=["_id", "piece", "start", "length", "ids_crc32", *["_ids"] * with_ids])
+
+    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(run, schema)
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, open_bins: int = OPEN_BINS, task_pieces: int = TASK_PIECES, end_id: int = 0, text: str = "text", id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """One row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset (and ids with ``with_ids``).
 
     A document is its ids, then ``end_id``; null and empty texts are ``end_id`` alone. Only documents of over ``size``
     tokens are cut, into pieces of ``size`` and a rest. Rows with null or repeated ids are packed like others. Extra
-    columns are not read. A task that runs again packs the same rows into the same numbers; they hold its partition's
-    number, so that no two tasks share one.
+    columns are not read. Pieces are packed in the order of a hash of their columns, so that a packing task that runs
+    again gives the same places; sequence numbers hold the task's number, so that no two tasks share one.
     """
+    scratch = Scratch(docs.sparkSession, "packing")
+    pieces = scratch.save(token_pieces(docs, tokenizer_path, size, end_id, text, id_col, with_ids))
+    tasks = max(1, -(-pieces.count() // task_pieces))
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {PACKED}" + ", ids array<long>" * with_ids
 
-    ship(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tok, bins = tokenizer(tokenizer_path), OpenBins(size, open_bins)
-        base = TaskContext.get().partitionId() << 40
-        end = np.array([end_id], "<u4").tobytes()
-        wait: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            # Longest first; equal lengths in the order of ids, so that the order of rows hardly matters.
-            wait.sort(key=lambda p: (-p[3], p[0] is None, p[0] if p[0] is not None else 0, p[1]))
-            put = [bins.place(p[3]) for p in wait]
-            cols = list(zip(*wait, strict=True))
-            out = [pa.array(cols[0], kind), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:5]), pa.array([base + b for b, _ in put], pa.int64()), pa.array([o for _, o in put], pa.int64())]
+        bins, base = OpenBins(size, open_bins), TaskContext.get().partitionId() << 40
+        for b in batches:
+            put = [bins.place(n) for n in b.column(3).to_pylist()]
+            out = [*b.columns[:5], pa.array([base + k for k, _ in put], pa.int64()), pa.array([o for _, o in put], pa.int64())]
             if with_ids:
-                out.append(pa.array([np.frombuffer(d, "<u4").astype(np.int64) for d in cols[5]], pa.list_(pa.int64())))
-            wait.clear()
-            return pa.RecordBatch.from_arrays(out, names=[id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids])
+                out.append(pa.array([np.frombuffer(d, "<u4").astype(np.int64) for d in b.column(5).to_pylist()], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(out, names=[id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids])
 
-        kind = None
-        for b in batches:
-            kind = b.column(0).type
-            for at in range(0, b.num_rows, 256):
-                ids, texts = b.column(0)[at : at + 256].to_pylist(), b.column(1)[at : at + 256].to_pylist()
-                for i, data in zip(ids, tok.encode_bytes([t or "" for t in texts]), strict=True):
-                    data += end
-                    for n, start in enumerate(range(0, len(data) // 4, size)):
-                        piece = data[4 * start : 4 * (start + size)]
-                        wait.append((i, n, start, len(piece) // 4, zlib.crc32(piece), piece if with_ids else b""))
-                if len(wait) >= block:
-                    yield flush()
-        if wait:
-            yield flush()
-
-    return docs.select(id_col, F.col(text).alias("_text")).mapInArrow(run, schema)
+    order = [F.xxhash64("_id", "piece", "ids_crc32"), "_id", "piece", "ids_crc32", "length"]
+    return pieces.repartition(tasks).sortWithinPartitions(*order).mapInArrow(run, schema)

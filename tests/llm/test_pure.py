@@ -111,17 +111,26 @@ def _path(name):
 TEXTS = ["", " ", "Hello, World's 42nd day!", "naïve  café\n\nDon't we'll", "Σίσυφος ΟΔΟΣ", "é  x y", "a\x1cb", "<|endoftext|> tail", "<|EndOfText|>", "日本語 text 😀!!", "x" * 3000, "½ ² Ⅷ ٣", "re've'll 's"]
 
 
-def test_cached_tokenizer_is_the_library():
+def test_chunk_tokenizer_is_the_library():
+    import random
+
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
     path = _path("word_bpe_49k.json")
     whole = Tokenizer.from_file(path)
+    rng = random.Random(4)
+    signs = [*map(chr, range(0x250)), *"\u0301\u0345\u017f\ufb01\u212b\uac00\u1100\u1161\u2003\u3000\u200b\ufeff\u0085", "'s", "'LL", "<|endoftext|>", "<|START", "Σς", "the", *" " * 40]
+    texts = [*TEXTS, "\x1b[0m red", "--\x00--", "a\x00b c", *["".join(rng.choices(signs, k=rng.randint(1, 40))) for _ in range(3000)]]
+    texts += [f"a{chr(c)}b {chr(c)} {chr(c)}a B{chr(c)}" for c in range(0x3100)]
     for size in (1_000_000, 3):
-        tok = packing.CachedTokenizer(path, max_words=size)
-        for _ in range(2):
-            got = tok.encode_bytes(TEXTS)
-            for t, ids in zip(TEXTS, got, strict=True):
-                assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
+        tok = packing.ChunkTokenizer(path, max_chunks=size)
+        for at in (0, 0, len(texts) // 2):
+            data, cut = tok.encode(pa.array(texts[at:]))
+            for t, i, j in zip(texts[at:], cut, cut[1:], strict=False):
+                assert data[i:j].tolist() == whole.encode(t, add_special_tokens=False).ids, t
+        assert len(tok.chunks) == len(tok.values) <= size
+    assert tok.encode(pa.array([], pa.string()))[1].tolist() == [0]
 
 
 def test_pieces_are_the_unigram_optimum():
