@@ -9,9 +9,11 @@
    far each one agrees with another to the right and to the left at once.
 3. The agreeing stretches of a document are united and cut out.
 
-An anchor with many distinct surroundings (a common passage in many settings) is dealt into cells by how much of the
-string lies left of it; a cell that is still large holds stretches which differ in a few places only, and there equal
-strings are counted by aggregation. No task holds all the surroundings of a frequent anchor.
+An anchor with many distinct surroundings (a common passage in many settings) makes a large cell. Its strings are told
+apart by how many of their bytes lie left of the anchor, and the cell is halved by that number: strings of one half agree
+on the bytes that all of them hold, so that such a prefix deals the members into cells again, in which only the bytes
+count that its strings reach and members equal in them are one. Cells that are small enough are sorted as above; halving
+ends at the latest with one string a cell. No task holds all the surroundings of a frequent anchor.
 """
 
 from __future__ import annotations
@@ -27,16 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import Scratch
+from .common import Scratch, text_blocks
 from .gsaca import suffix_array
 
 LENGTH, GRAM = 200, 96
 REACH = LENGTH - GRAM
 BLOCK = 26
-#: Distinct surroundings of an anchor, and of a cell, that one task takes together.
+#: Distinct members of a cell that are sorted together; larger cells are halved until they are as small.
 MAX_CELL = 1024
-#: Offsets of a string that a cell of a frequent anchor covers.
-SLICE = 14
 
 
 def _hashes(b: np.ndarray) -> np.ndarray:
@@ -87,6 +87,30 @@ def anchors(data: bytes, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(where), np.concatenate(what)
 
 
+def once(rid: np.ndarray, pos: np.ndarray, n: np.ndarray, h: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The first place of each surrounding of each text, with its count there; count 0 marks stretches.
+
+    Surroundings met again in their own text repeat whatever other texts hold: their united stretches (from, to) stand
+    in the places of pos and n. A run of one sign thus gives a few rows, not one a byte.
+    """
+    h, f = h.view(np.int64), f.view(np.int64)
+    order = np.lexsort((pos, f, h, rid))
+    r, k, g = rid[order], h[order], f[order]
+    first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (k[1:] != k[:-1]) | (g[1:] != g[:-1])]))
+    count = np.diff(np.append(first, len(order)))
+    keep = order[first]
+    cols = [rid[keep], pos[keep], n[keep], h[keep], f[keep], count]
+    again = order[np.repeat(count > 1, count)]
+    if len(again):
+        again = again[np.lexsort((pos[again], rid[again]))]
+        r, lo, hi = rid[again], np.maximum(0, pos[again] - REACH), np.minimum(n[again], pos[again] + LENGTH)
+        start = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (lo[1:] > hi[:-1])]))
+        zero = np.zeros(len(start), np.int64)
+        more = [r[start], lo[start], hi[np.append(start[1:], len(r)) - 1], zero, zero, zero]
+        cols = [np.concatenate(c) for c in zip(cols, more, strict=True)]
+    return tuple(cols)
+
+
 def agreement(groups: list[list[tuple[bytes, bytes]]]) -> list[list[tuple[int, int]]]:
     """For each group of distinct (left part reversed, right part): how far each agrees with another member.
 
@@ -167,11 +191,10 @@ def repeats(rows: DataFrame, scratch: Scratch) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                ids, texts = b.column(0)[at : at + 512].to_pylist(), b.column(1)[at : at + 512].to_pylist()
+            for at, texts in text_blocks(b.column(1), 2_000_000):
                 rid, pos, n, h, f = [], [], [], [], []
-                for i, t in zip(ids, texts, strict=True):
-                    data = (t or "").encode()
+                for i, t in zip(b.column(0)[at : at + len(texts)].to_pylist(), texts.to_pylist(), strict=True):
+                    data = t.encode()
                     p, k = anchors(data)
                     if len(p):
                         rid.append(np.full(len(p), i))
@@ -180,23 +203,22 @@ def repeats(rows: DataFrame, scratch: Scratch) -> DataFrame:
                         h.append(k)
                         f.extend([digest(data[max(0, q - REACH) : q + LENGTH], 7) for q in p.tolist()])
                 if rid:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(rid), pa.int64()), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.concatenate(n).astype(np.int32)), pa.array(np.concatenate(h).view(np.int64)), pa.array(np.array(f, np.uint64).view(np.int64))],
-                        names=["rid", "pos", "n", "h", "f"],
-                    )
+                    cols = once(*map(np.concatenate, (rid, pos, n, h)), np.array(f, np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["rid", "pos", "n", "h", "f", "c"])
 
-    found = scratch.save(rows.select("rid", "text").mapInArrow(find, "rid long, pos int, n int, h long, f long"))
+    found = scratch.save(rows.select("rid", "text").mapInArrow(find, "rid long, pos int, n int, h long, f long, c int"))
+    within = scratch.save(found.where("c = 0").select("rid", F.col("pos").alias("lo"), F.col("n").alias("hi")))
     # Map-side sums shrink frequent anchors before the shuffle; what is met once goes.
-    often = found.groupBy("h").agg(F.count("*").alias("c"), F.min("f").alias("f0"), F.max("f").alias("f1")).where("c > 1")
+    often = found.where("c > 0").groupBy("h").agg(F.sum("c").alias("c"), F.min("f").alias("f0"), F.max("f").alias("f1")).where("c > 1")
     often = scratch.save(often.select("h", (F.col("f0") != F.col("f1")).alias("mixed")))
     scratch.sweep()
-    met = scratch.save(found.join(often, "h").select("rid", "pos", "n", "h", "f", "mixed"))
+    met = scratch.save(found.where("c > 0").join(often, "h").select("rid", "pos", "n", "h", "f", "c", "mixed"))
     scratch.drop(found)
     scratch.sweep()
     lo, hi = F.greatest(F.lit(0), F.col("pos") - REACH), F.least(F.col("n"), F.col("pos") + LENGTH)
     same = met.where("not mixed").select("rid", lo.alias("lo"), hi.alias("hi"))
     mixed = met.where("mixed")
-    one = mixed.groupBy("h", "f").agg(F.count("*").alias("m"), F.min(F.struct("rid", "pos")).alias("at"))
+    one = mixed.groupBy("h", "f").agg(F.sum("c").alias("m"), F.min(F.struct("rid", "pos")).alias("at"))
     one = scratch.save(one.select("h", "f", "m", F.col("at.rid").alias("rid"), F.col("at.pos").alias("pos")))
     parts = scratch.save(_surroundings(rows, one))
     scratch.sweep()
@@ -204,7 +226,7 @@ def repeats(rows: DataFrame, scratch: Scratch) -> DataFrame:
     scratch.drop(parts)
     scratch.sweep()
     there = mixed.join(reach, ["h", "f"]).select("rid", F.greatest(F.lit(0), F.col("pos") - F.col("left")).alias("lo"), F.least(F.col("n"), F.col("pos") + F.col("right")).alias("hi"))
-    return same.unionByName(there).where(F.col("hi") - F.col("lo") >= LENGTH)
+    return within.unionByName(same).unionByName(there).where(F.col("hi") - F.col("lo") >= LENGTH)
 
 
 def _surroundings(rows: DataFrame, one: DataFrame) -> DataFrame:
@@ -227,35 +249,32 @@ def _surroundings(rows: DataFrame, one: DataFrame) -> DataFrame:
 
 def _resolve(parts: DataFrame, scratch: Scratch) -> DataFrame:
     """(h, f, left, right) for the surroundings that repeat in part or whole."""
-    # A surrounding met twice repeats as a whole.
-    whole = parts.where("m > 1").select("h", "f", F.octet_length("l").alias("left"), (F.octet_length("r") + GRAM).alias("right"))
-    sizes = scratch.save(parts.groupBy("h").agg(F.count("*").alias("d")).where("d > 1"))
-    cells = parts.join(sizes.where(F.col("d") <= MAX_CELL).select("h"), "h").select("h", "f", "l", "r", F.col("h").alias("cell"))
-    large = sizes.where(F.col("d") > MAX_CELL).select("h")
-    found = [whole]
-    if not large.isEmpty():
-        # The strings that begin a to a+SLICE-1 bytes left of the anchor agree on a bytes left and the rest right.
-        starts = list(range(0, REACH + 1, SLICE))
-        hot = parts.join(large, "h").select("h", "f", "l", "r", F.explode(F.array(*map(F.lit, starts))).alias("a"))
-        need = F.greatest(F.lit(0), REACH - (SLICE - 1) - F.col("a"))
-        hot = hot.where((F.octet_length("l") >= F.col("a")) & (F.octet_length("r") >= need))
-        inner = [F.substring("l", F.lit(1), F.col("a")), F.substring("r", F.lit(1), need)]
-        hot = scratch.save(hot.withColumn("cell", F.xxhash64("h", "a", *inner)))
-        count = scratch.save(hot.groupBy("cell").agg(F.count("*").alias("d")).where("d > 1"))
-        cells = cells.unionByName(hot.join(count.where(F.col("d") <= MAX_CELL).select("cell"), "cell").select("h", "f", "l", "r", "cell"))
-        last = hot.join(count.where(F.col("d") > MAX_CELL).select("cell"), "cell")
-        if not last.isEmpty():
-            # Only the bytes that the cell's strings can reach count from here on; surroundings equal in them are one.
-            last = last.withColumn("l", F.substring("l", F.lit(1), F.col("a") + SLICE - 1)).withColumn("r", F.substring("r", F.lit(1), REACH - F.col("a")))
-            last = scratch.save(last.select("h", "f", "cell", "a", "l", "r", F.xxhash64("cell", "l", "r").alias("part")))
-            part = scratch.save(last.groupBy("part").agg(F.count("*").alias("m"), *[F.min(c).alias(c) for c in ("cell", "a", "l", "r")]))
-            reach = part.where("m > 1").select("part", F.octet_length("l").alias("left"), (F.octet_length("r") + GRAM).alias("right"))
-            each = part.select("part", "cell", "m", "l", "r", F.explode(F.sequence(F.col("a"), F.least(F.lit(REACH), F.col("a") + SLICE - 1))).alias("k"))
-            each = each.where((F.octet_length("l") >= F.col("k")) & (F.octet_length("r") >= REACH - F.col("k")))
-            each = scratch.save(each.select("part", "m", F.xxhash64("cell", "k").alias("place"), "k", F.sha2(F.concat(F.substring("l", F.lit(1), F.col("k")), F.substring("r", F.lit(1), REACH - F.col("k"))), 256).alias("s")))
-            twice = scratch.save(each.groupBy("place", "s").agg(F.sum("m").alias("c")).where("c > 1").select("place", "s"))
-            lone = each.where("m = 1").join(twice, ["place", "s"]).groupBy("part").agg(F.max("k").alias("left"), F.max(LENGTH - F.col("k")).alias("right"))
-            found.append(last.select("h", "f", "part").join(scratch.save(reach.unionByName(lone)), "part").select("h", "f", "left", "right"))
+    # What is met twice repeats as a whole; it still is a partner of the others.
+    done = lambda rows: rows.select("h", "f", F.octet_length("l").alias("left"), (F.octet_length("r") + GRAM).alias("right"))
+    found, small = [done(parts.where("m > 1"))], []
+    level = parts.select("h", "f", "l", "r", (F.col("m") > 1).alias("known"), F.col("h").alias("cell"), F.lit(0).alias("a"), F.lit(REACH + 1).alias("z"))
+    while True:
+        sizes = level.groupBy("cell").agg(F.count("*").alias("d"), F.min("known").alias("known")).where("d > 1 and not known")
+        sizes = scratch.save(sizes.select("cell", "d"))
+        small.append(level.join(sizes.where(F.col("d") <= MAX_CELL).select("cell"), "cell").select("h", "f", "l", "r", "cell"))
+        large = sizes.where(F.col("d") > MAX_CELL).select("cell")
+        if large.isEmpty():
+            break
+        # Of the strings with a to z-1 bytes left of the anchor, the lower and the upper half.
+        middle = F.floor((F.col("a") + F.col("z")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("a").alias("a"), middle.alias("z")), F.struct(middle.alias("a"), F.col("z").alias("z")))
+        half = level.join(large, "cell").select("h", "f", "l", "r", "known", F.col("cell").alias("above"), F.inline(halves))
+        need = REACH + 1 - F.col("z")
+        half = half.where("a < z").where((F.octet_length("l") >= F.col("a")) & (F.octet_length("r") >= need) & (F.octet_length("l") + F.octet_length("r") >= REACH))
+        cell = F.xxhash64("above", "a", F.substring("l", F.lit(1), F.col("a")), F.substring("r", F.lit(1), need))
+        half = half.select("h", "f", F.substring("l", F.lit(1), F.col("z") - 1).alias("l"), F.substring("r", F.lit(1), REACH - F.col("a")).alias("r"), "known", cell.alias("cell"), "a", "z")
+        half = scratch.save(half.withColumn("part", F.xxhash64("cell", "l", "r")))
+        one = scratch.save(half.groupBy("cell", "part").agg(F.count("*").alias("m"), F.max("known").alias("known"), *[F.min(c).alias(c) for c in ("h", "f", "l", "r", "a", "z")]))
+        found.append(done(half.where("not known").join(one.where("m > 1").select("cell", "part"), ["cell", "part"])))
+        level = one.select("h", "f", "l", "r", (F.col("known") | (F.col("m") > 1)).alias("known"), "cell", "a", "z")
+    cells = small[0]
+    for x in small[1:]:
+        cells = cells.unionByName(x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wait: list[pa.RecordBatch] = []
@@ -312,10 +331,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
     k = len(keep)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b, texts in ((b.slice(at, len(t)), t) for b in batches for at, t in text_blocks(b.column(k))):
             out: list[tuple] = []
-            for t, spans in zip(b.column(k).to_pylist(), b.column(k + 1).to_pylist(), strict=True):
-                data = (t or "").encode()
+            for t, spans in zip(texts.to_pylist(), b.column(k + 1).to_pylist(), strict=True):
+                data = t.encode()
                 at, gone, n, kept = 0, 0, 0, []
                 end = -1
                 for s in spans or ():

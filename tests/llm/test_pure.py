@@ -253,3 +253,10 @@ def test_matched_words_are_a_longest_common_subsequence():
         got = chaining.matched(x, y, step=7)
         assert len(got) == chaining.common_words(x, y) and all(x[i] == y[j] for i, j in got)
         assert all(a < c and b < d for (a, b), (c, d) in zip(got, got[1:], strict=False))
+
+
+def test_surroundings_once_a_text():
+    rid, pos = np.array([1, 1, 1, 1, 2, 2]), np.array([200, 201, 202, 900, 300, 5])
+    n, h, f = np.array([1000, 1000, 1000, 1000, 400, 400]), np.array([7, 7, 7, 7, 7, 3], np.uint64), np.array([4, 4, 4, 4, 4, 4], np.uint64)
+    got = sorted(zip(*(c.tolist() for c in substring_exact.once(rid, pos, n, h, f)), strict=True))
+    assert got == sorted([(1, 200, 1000, 7, 4, 4), (2, 300, 400, 7, 4, 1), (2, 5, 400, 3, 4, 1), (1, 96, 402, 0, 0, 0), (1, 796, 1000, 0, 0, 0)])
