@@ -6,18 +6,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .scan import distances, matrix
+from .numbering import row_numbers
+from .scan import distances, exact, matrix
 
 
 def random_partition(vectors: DataFrame, shards: int, seed: int = 42) -> DataFrame:
     """(vec_id, shard_id) by a hash of the id, the same on every run and for every partitioning."""
     if shards < 1:
         raise ValueError("shards must be positive")
-    return vectors.select("vec_id", F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(shards)).cast("int").alias("shard_id"))
+    return vectors.select("vec_id", hash_shard(shards, seed).alias("shard_id"))
+
+
+def hash_shard(shards: int, seed: int = 42) -> Column:
+    """The shard of a vec_id."""
+    return (id_hash(seed) % shards).cast("int")
+
+
+def id_hash(seed: int) -> Column:
+    """32 bits of an MD5 of the seed and the vec_id, which other SQL engines give as well."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
 def initial_centroids(vectors: DataFrame, k: int) -> np.ndarray:
@@ -28,6 +40,16 @@ def initial_centroids(vectors: DataFrame, k: int) -> np.ndarray:
     return np.array([r.embedding for r in rows], np.float64)
 
 
+#: Vectors that k-means is fitted on for each centroid, at most.
+POINTS_PER_CENTROID = 256
+
+
+def sample(vectors: DataFrame, most: int, seed: int = 42) -> DataFrame:
+    """About ``most`` vectors by a hash of their ids, the same on every run; all of them if there are no more."""
+    n = vectors.count()
+    return vectors if n <= most else vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+
+
 def lloyd(vectors: DataFrame, k: int, iterations: int = 25, start: np.ndarray | None = None, metric: str = "l2", tolerance: float = 0.0) -> np.ndarray:
     """Centroids after Lloyd iterations; an empty cluster keeps its centroid.
 
@@ -99,11 +121,31 @@ def cluster_stats(sizes: DataFrame) -> DataFrame:
 
 
 def group_means(vectors: DataFrame, group: str, weight: str | None = None) -> DataFrame:
-    """(group, mean): mean vector of each group, weighted by ``weight`` if given."""
+    """(group, mean): mean vector of each group, weighted by ``weight`` if given.
+
+    Tasks add up sums for each group of a batch; those, not the vectors' components, are shuffled.
+    """
+    ship(vectors.sparkSession)
     w = F.col(weight) if weight else F.lit(1)
-    flat = vectors.select(group, w.cast("double").alias("w"), F.posexplode(F.col("embedding").cast("array<double>")).alias("j", "x"))
-    means = flat.groupBy(group, "j").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
-    return means.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "m"))), lambda s: s["m"]).alias("mean"))
+    rows = vectors.select(F.col(group).alias("g"), w.cast("double").alias("w"), F.col("embedding").cast("array<double>").alias("x"))
+    kind = rows.schema["g"].dataType.simpleString()
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = matrix(b.column(2), len(b.column(2)[0]))
+            code = b.column(0).dictionary_encode()
+            at, w = code.indices.to_numpy(zero_copy_only=False), b.column(1).to_numpy()
+            n, d = len(code.dictionary), x.shape[1]
+            total = np.zeros((n, d))
+            np.add.at(total, at, x * w[:, None])
+            weights = np.bincount(at, w, n)
+            yield pa.RecordBatch.from_arrays([code.dictionary.take(pa.array(np.repeat(np.arange(n), d))), pa.array(np.tile(np.arange(d), n)), pa.array(total.ravel()), pa.array(np.repeat(weights, d))], names=["g", "j", "s", "w"])
+
+    parts = rows.where("g is not null").mapInArrow(sums, f"g {kind}, j long, s double, w double")
+    means = parts.groupBy("g", "j").agg((F.sum("s") / F.sum("w")).alias("m"))
+    return means.groupBy(F.col("g").alias(group)).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "m"))), lambda s: s["m"]).alias("mean"))
 
 
 def means_matrix(vectors: DataFrame, shards: int, dim: int) -> np.ndarray:
@@ -127,5 +169,49 @@ def farthest_pair(centroids: DataFrame) -> DataFrame:
 
 def local_ids(assignments: DataFrame) -> DataFrame:
     """``assignments(vec_id, shard_id, is_replica)`` with local_id: primaries in id order, then replicas."""
-    w = Window.partitionBy("shard_id").orderBy("is_replica", "vec_id")
-    return assignments.withColumn("local_id", F.row_number().over(w).cast("long") - 1)
+    kinds = row_numbers(assignments, ["shard_id", "is_replica"], "vec_id", "local_id")
+    # One row a shard.
+    first = assignments.groupBy("shard_id").agg(F.count_if(~F.col("is_replica")).alias("_primary"))
+    out = kinds.join(F.broadcast(first), "shard_id")
+    return out.select(*assignments.columns, F.when(F.col("is_replica"), F.col("local_id") + F.col("_primary")).otherwise(F.col("local_id")).alias("local_id"))
+
+
+def with_shard(vectors: DataFrame, centroids: np.ndarray, shard_of: np.ndarray, metric: str = "l2") -> DataFrame:
+    """``vectors(vec_id, embedding)`` with the shard of their nearest centroid; no shuffle."""
+    ship(vectors.sparkSession)
+    sent = vectors.sparkSession.sparkContext.broadcast((np.asarray(centroids, np.float64), np.asarray(shard_of, np.int32)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, shard = sent.value
+        for b in batches:
+            x = matrix(b.column(1), c.shape[1])
+            near = np.concatenate([distances(c, x[at : at + 2048], metric).argmin(1) for at in range(0, len(x), 2048)]) if len(x) else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shard[near]), b.column(1)], names=["vec_id", "shard_id", "embedding"])
+
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    return rows.mapInArrow(run, f"vec_id long, shard_id int, embedding {rows.schema['embedding'].dataType.simpleString()}")
+
+
+def with_copies(own: DataFrame, means: np.ndarray, tau: float) -> DataFrame:
+    """``own(vec_id, shard_id, embedding)`` with is_replica, and a copy of each vector almost as near to another shard's mean.
+
+    The rule of ``routing.boundary`` and ``routing.replicas``, in one pass without a join.
+    """
+    ship(own.sparkSession)
+    sent = own.sparkSession.sparkContext.broadcast(np.asarray(means, np.float64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = sent.value
+        for b in batches:
+            x, shard = matrix(b.column(2), c.shape[1]), b.column(1).to_numpy()
+            two = np.argsort(distances(c, x, "l2"), axis=1, kind="stable")[:, :2]
+            near, far = exact(c[two[:, 0]], x, "l2"), exact(c[two[:, 1]], x, "l2")
+            at = np.flatnonzero((near > 0) & (far < tau * near))
+            target = np.where(two[at, 1] == shard[at], two[at, 0], two[at, 1]).astype(np.int32)
+            both = pa.array(np.concatenate([np.arange(len(x)), at]))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(both), pa.array(np.concatenate([shard, target]).astype(np.int32)), pa.array(np.arange(len(both)) >= len(x)), b.column(2).take(both)],
+                names=["vec_id", "shard_id", "is_replica", "embedding"],
+            )
+
+    return own.select("vec_id", "shard_id", "embedding").mapInArrow(run, f"vec_id long, shard_id int, is_replica boolean, embedding {own.schema['embedding'].dataType.simpleString()}")

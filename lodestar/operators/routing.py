@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .clustering import assign
+from .clustering import assign, id_hash
 from .scan import distances, matrix
 
 
@@ -57,8 +57,11 @@ def subcluster_router(vectors: DataFrame, per_shard: int = 500, iterations: int
 
 def sample_router(vectors: DataFrame, per_shard: int = 500, seed: int = 142, raw: bool = False) -> DataFrame:
     """(shard_id, centroid): ``per_shard`` vectors of each shard in the order of a hash of their ids."""
-    w = Window.partitionBy("shard_id").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id")
-    drawn = vectors.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_shard).drop("_r")
+    # Only ids whose hash lies below a bound that leaves about twice as many as asked for reach the window.
+    n = F.broadcast(vectors.groupBy("shard_id").agg(F.count("*").alias("_n")))
+    some = vectors.withColumn("_h", id_hash(seed)).join(n, "shard_id").where(F.col("_h") < (F.lit(2 * per_shard + 100) / F.col("_n") * (1 << 32)))
+    w = Window.partitionBy("shard_id").orderBy("_h", "vec_id")
+    drawn = some.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_shard).drop("_r", "_h", "_n")
     return drawn if raw else drawn.select("shard_id", F.col("embedding").cast("array<double>").alias("centroid"))
 
 

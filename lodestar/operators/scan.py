@@ -37,18 +37,24 @@ def exact(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
 
 
 def local_topk(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(qid, id, dist) of the k nearest rows of each query; ties by id."""
+    """(qid, id, dist) of the k nearest rows of each query; ties by id.
+
+    Rough distances only rule rows out: every row whose rough distance is within the rounding error of the k-th is
+    measured exactly, however many are equally far.
+    """
     if not len(x) or not len(q):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    rough = distances(x, q, metric)
-    take = min(len(x), k + 16)
-    near = np.argpartition(rough, take - 1, axis=1)[:, :take] if take < len(x) else np.broadcast_to(np.arange(len(x)), rough.shape)
-    qi = np.repeat(np.arange(len(q)), take)
-    xi = near.ravel()
+    if k >= len(x):
+        qi, xi = np.repeat(np.arange(len(q)), len(x)), np.tile(np.arange(len(x)), len(q))
+    else:
+        rough = distances(x, q, metric)
+        size = (q * q).sum(1) + (x * x).sum(1).max()
+        limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + 16 * (x.shape[1] + 4) * np.finfo(np.float64).eps * size
+        qi, xi = np.nonzero(rough <= limit[:, None])
     d = exact(x[xi], q[qi], metric)
     order = np.lexsort((ids[xi], d, qi))
-    rank = np.arange(len(order)) % take
-    order = order[rank < k]
+    first = np.searchsorted(qi, np.arange(len(q)))
+    order = order[np.arange(len(order)) - first[qi] < k]
     return qids[qi[order]], ids[xi[order]], d[order]
 
 
@@ -94,9 +100,14 @@ def routed_scan(vectors: DataFrame, routed: DataFrame, k: int, metric: str = "l2
                             parts.append(local_topk(x[at], ids[at], q[i[c : c + 1024]], qids[i[c : c + 1024]], k, metric))
                 if parts:
                     a, v, d = (np.concatenate(c) for c in zip(*parts, strict=True))
+                    # A vector and its replica are one result; then the nearest of each query.
+                    order = np.lexsort((d, v, a))
+                    a, v, d = a[order], v[order], d[order]
+                    once = np.r_[True, (a[1:] != a[:-1]) | (v[1:] != v[:-1])] if len(a) else np.zeros(0, bool)
+                    a, v, d = a[once], v[once], d[once]
                     order = np.lexsort((v, d, a))
                     a, v, d = a[order], v[order], d[order]
-                    first = np.r_[True, a[1:] != a[:-1]]
+                    first = np.r_[True, a[1:] != a[:-1]] if len(a) else np.zeros(0, bool)
                     rank = np.arange(len(a)) - np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
                     best = a[rank < k], v[rank < k], d[rank < k]
             if best is not None:

@@ -1,12 +1,12 @@
 """Queries over the embeddings table, with the SQL that gives the same rows.
 
-Vectors below HELD are queries, the others the base. Where a query needs shards without k-means, labels 0 to 4 are
+Queries are the vectors whose id is divisible by EVERY, searched for among all vectors, themselves included. Where a query needs shards without k-means, labels 0 to 4 are
 shard 0 and the rest shard 1, and labels serve as fine clusters.
 """
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import clustering, evaluation, merging, routing
 from ..operators.scan import exact_knn, merge_topk, pad_topk, routed_scan
+from ..shared import shared_dir
 from ..sources.fvecs import read_fvecs, write_fvecs
 from ..streaming.batches import batched_search, stream_search
 from .index import Options, ShardedIndex
 
-HELD, K, CLUSTERS, ROUNDS, POWER = 50, 10, 4, 3, 120
+EVERY, K, CLUSTERS, ROUNDS, POWER = 100, 10, 4, 3, 120
+#: Added to the ids of vectors that are appended; copies of each vector and results in the query of ties; a squared radius.
+NEW_IDS, COPIES, TIED, RADIUS = 1_000_000_000, 32, 40, 1.5
 SHARD = "CASE WHEN label < 5 THEN 0 ELSE 1 END"
 
 
@@ -28,11 +31,11 @@ def _all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _base(spark: SparkSession, d: str) -> DataFrame:
-    return _all(spark, d).where(F.col("vec_id") >= HELD)
+    return _all(spark, d)
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
-    return _all(spark, d).where(F.col("vec_id") < HELD).select(F.col("vec_id").alias("qid"), "embedding")
+    return _all(spark, d).where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("qid"), "embedding")
 
 
 def _rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -65,10 +68,17 @@ def knn_exact_ip(spark, d):
     return out.select("qid", "rank", "vec_id", F.round(-F.col("dist"), 6).alias("ip"))
 
 
+def knn_ties(spark, d):
+    """Every vector under many ids, so that the k-th result is one of equals: the lowest ids win."""
+    ids = F.transform(F.sequence(F.lit(0), F.lit(COPIES - 1)), lambda c: F.col("vec_id") + c.cast("long") * NEW_IDS)
+    many = _base(spark, d).select(F.explode(ids).alias("vec_id"), "embedding")
+    return _rounded(exact_knn(many, _queries(spark, d), TIED), "dist")
+
+
 def topk_padded(spark, d):
-    few = _base(spark, d).where(F.col("vec_id") < HELD + 4)
+    """Results within a radius, padded to K."""
     q = _queries(spark, d)
-    out = pad_topk(exact_knn(few, q, K), q, K)
+    out = pad_topk(exact_knn(_base(spark, d), q, K).where(F.col("dist") < RADIUS), q, K)
     return out.select("qid", "rank", "vec_id", F.when(F.col("vec_id") >= 0, F.round("dist", 6)).alias("dist"))
 
 
@@ -89,7 +99,8 @@ def vector_functions(spark, d):
 
 
 def query_limit(spark, d):
-    return _rounded(exact_knn(_base(spark, d), _queries(spark, d).where("qid < 5"), 3), "dist")
+    """The first three queries."""
+    return _rounded(exact_knn(_base(spark, d), _queries(spark, d).orderBy("qid").limit(3), 3), "dist")
 
 
 # Clusters and partitions
@@ -248,23 +259,24 @@ def shard_candidates(spark, d):
 
 def recall_at_k(spark, d):
     q = _queries(spark, d)
-    return _rounded(evaluation.recall_at_k(_sharded(spark, d, 1), exact_knn(_base(spark, d), q, K), HELD, K), "recall")
+    return _rounded(evaluation.recall_at_k(_sharded(spark, d, 1), exact_knn(_base(spark, d), q, K), q.count(), K), "recall")
 
 
 def batched_knn(spark, d):
     base = _base(spark, d)
     index = ShardedIndex(Options(), V.check_dimension(base), base.withColumn("is_replica", F.lit(False)), np.arange(2), _means(spark, d))
-    return _rounded(batched_search(index, _queries(spark, d), 8, K, 1), "dist")
+    return _rounded(batched_search(index, _queries(spark, d), 2, K, 1), "dist")
 
 
 def incremental_add(spark, d):
-    """The held-out vectors appended to the shards whose mean is nearest."""
+    """The queries' vectors appended under new ids to the shards whose mean is nearest."""
     base = _base(spark, d)
     index = ShardedIndex(Options(), V.check_dimension(base), base.select("vec_id", "shard_id", F.lit(False).alias("is_replica"), "embedding"), np.arange(2), _means(spark, d))
-    return index.append(_all(spark, d).where(F.col("vec_id") < HELD)).counts()
+    new = _queries(spark, d).select((F.col("qid") + NEW_IDS).alias("vec_id"), "embedding")
+    return index.append(new).counts()
 
 
-# Whole models, without an SQL form
+# Whole models
 
 
 def _fit(spark, d, **kw) -> ShardedIndex:
@@ -283,8 +295,7 @@ def flagship(spark, d):
 
 def index_recall(spark, d):
     """Recall of the index against brute force: every hundredth vector against the whole table."""
-    vectors = _all(spark, d)
-    q = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    vectors, q = _all(spark, d), _queries(spark, d)
     found = _production(vectors).search(q, K, 1)
     return _rounded(evaluation.recall_at_k(found, exact_knn(vectors, q, K), q.count(), K), "recall")
 
@@ -310,11 +321,8 @@ def index_sample_router(spark, d):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared one if the session names it."""
-    import uuid
-
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{top}/lodestar-{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark)}/lodestar-{uuid.uuid4().hex}"
 
 
 def index_save_load(spark, d):
@@ -348,13 +356,22 @@ def stream_knn(spark, d):
 
 
 _BASE = f"""e AS (SELECT vec_id, label, CAST({SHARD} AS INT) AS shard_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-b AS (SELECT * FROM e WHERE vec_id >= {HELD}), q AS (SELECT vec_id AS qid, v FROM e WHERE vec_id < {HELD})"""
-_MEANS = """, sm AS (SELECT shard_id, list(m ORDER BY j) AS c FROM (SELECT shard_id, j, avg(v[j]) AS m FROM b, range(1, 65) t(j) GROUP BY ALL) GROUP BY shard_id)"""
+b AS (SELECT * FROM e), q AS (SELECT vec_id AS qid, v FROM e WHERE vec_id % {EVERY} = 0)"""
 _LABELS = """, lm AS (SELECT label, any_value(n) AS n, list(m ORDER BY j) AS c FROM (SELECT label, j, avg(v[j]) AS m, count(*) AS n FROM b, range(1, 65) t(j) GROUP BY ALL) GROUP BY label)"""
-_TOP2 = """, d2 AS (SELECT vec_id, b.shard_id AS own, sm.shard_id AS s, pow(list_distance(v, c), 2) AS d, row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(v, c), sm.shard_id) AS r FROM b, sm),
-t2 AS (SELECT x.vec_id, x.own, x.s AS cluster_id, x.d AS dist, y.s AS second_id, y.d AS second_dist FROM d2 x JOIN d2 y USING (vec_id) WHERE x.r = 1 AND y.r = 2),
-bd AS (SELECT vec_id, own, cluster_id AS first_id, second_id, second_dist / dist AS ratio FROM t2 WHERE dist > 0 AND second_dist / dist < 1.05),
-wr AS (SELECT vec_id, shard_id, false AS is_replica FROM b UNION ALL SELECT vec_id, CASE WHEN second_id = own THEN first_id ELSE second_id END, true FROM bd)"""
+
+
+def _means_sql(b: str = "b") -> str:
+    return f", sm AS (SELECT shard_id, list(m ORDER BY j) AS c FROM (SELECT shard_id, j, avg(v[j]) AS m FROM {b}, range(1, 65) t(j) GROUP BY ALL) GROUP BY shard_id)"
+
+
+def _top2_sql(b: str = "b", tau: float = 1.05) -> str:
+    return f""", d2 AS (SELECT vec_id, {b}.shard_id AS own, sm.shard_id AS s, pow(list_distance(v, c), 2) AS d, row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(v, c), sm.shard_id) AS r FROM {b}, sm),
+    t2 AS (SELECT x.vec_id, x.own, x.s AS cluster_id, x.d AS dist, y.s AS second_id, y.d AS second_dist FROM d2 x JOIN d2 y USING (vec_id) WHERE x.r = 1 AND y.r = 2),
+    bd AS (SELECT vec_id, own, cluster_id AS first_id, second_id, second_dist / dist AS ratio FROM t2 WHERE dist > 0 AND second_dist / dist < {tau}),
+    wr AS (SELECT vec_id, shard_id, false AS is_replica FROM {b} UNION ALL SELECT vec_id, CASE WHEN second_id = own THEN first_id ELSE second_id END, true FROM bd)"""
+
+
+_MEANS, _TOP2 = _means_sql(), _top2_sql()
 _ROUTE = """, rt AS (SELECT qid, sm.shard_id, q.v, row_number() OVER (PARTITION BY qid ORDER BY list_distance(q.v, c), sm.shard_id) AS r FROM q, sm)"""
 
 
@@ -366,42 +383,77 @@ def _sharded_sql(nprobe: int, members: str = "b") -> str:
     return f"SELECT DISTINCT qid, m.vec_id, pow(list_distance(rt.v, m.v), 2) AS dist FROM rt JOIN {members} m USING (shard_id) WHERE r <= {nprobe}"
 
 
-def _lloyd_sql() -> str:
-    out = f", c0 AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INT) AS cluster_id, v AS c FROM b QUALIFY row_number() OVER (ORDER BY vec_id) <= {CLUSTERS})"
-    for i in range(ROUNDS):
-        out += f""", a{i} AS (SELECT vec_id, v, cluster_id FROM b, c{i} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(v, c), cluster_id) = 1),
-        n{i} AS (SELECT cluster_id, list(m ORDER BY j) AS c FROM (SELECT cluster_id, j, avg(v[j]) AS m FROM a{i}, range(1, 65) t(j) GROUP BY ALL) GROUP BY cluster_id),
-        c{i + 1} AS (SELECT c{i}.cluster_id, coalesce(n{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN n{i} USING (cluster_id))"""
+def _lloyd_sql(clusters: int | str = CLUSTERS, rounds: int = ROUNDS, b: str = "b", name: str = "", group: str = "") -> str:
+    """Rounds of k-means from the vectors of the lowest ids, of the whole table or of each ``group``."""
+    g, over = (f"{group}, ", f"PARTITION BY {group} ") if group else ("", "")
+    same = f"USING ({group})" if group else "ON true"
+    first = f"row_number() OVER ({over}ORDER BY vec_id)"
+    out = f", {name}c0 AS MATERIALIZED (SELECT {g}CAST({first} - 1 AS INT) AS cluster_id, v AS c FROM {b} QUALIFY {first} <= {clusters})"
+    for i in range(rounds):
+        out += f""", {name}a{i} AS MATERIALIZED (SELECT {g}vec_id, v, cluster_id FROM {b} JOIN {name}c{i} {same} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(v, c), cluster_id) = 1),
+        {name}n{i} AS (SELECT {g}cluster_id, list(m ORDER BY j) AS c FROM (SELECT {g}cluster_id, j, avg(v[j]) AS m FROM {name}a{i}, range(1, 65) t(j) GROUP BY ALL) GROUP BY ALL),
+        {name}c{i + 1} AS MATERIALIZED (SELECT {g}o.cluster_id, coalesce(n.c, o.c) AS c FROM {name}c{i} o LEFT JOIN {name}n{i} n USING ({g}cluster_id))"""
     return out
 
 
-def _greedy_sql() -> str:
-    """Seeds, then eight rounds over the ten labels: the nearest free cluster joins its shard within the limits."""
-    out = f"""{_LABELS}, t AS (SELECT CAST(sum(n) AS BIGINT) AS total, CAST(floor(sum(n) * 0.5) AS BIGINT) AS goal FROM lm),
-    sd AS (SELECT x.label AS a, y.label AS z FROM lm x, lm y WHERE x.label < y.label ORDER BY list_distance(x.c, y.c) DESC, a, z LIMIT 1),
-    s0 AS (SELECT a AS label, 0 AS shard FROM sd UNION ALL SELECT z, 1 FROM sd)"""
-    for i in range(8):
+def _fine_sql(clusters: int | str, rounds: int) -> str:
+    """Fine clusters as the table lm, and each vector's."""
+    return f"""{_lloyd_sql(clusters, rounds)}, fa AS MATERIALIZED (SELECT vec_id, v, cluster_id FROM b, c{rounds} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(v, c), cluster_id) = 1),
+    lm AS MATERIALIZED (SELECT o.cluster_id AS label, count(fa.vec_id) AS n, any_value(o.c) AS c FROM c{rounds} o LEFT JOIN fa USING (cluster_id) GROUP BY o.cluster_id)"""
+
+
+def _greedy_sql(clusters: int = 10, linkage: str = "min") -> str:
+    """Seeds, then a round for each other cluster of lm: the nearest free one joins its shard within the limits."""
+    out = """, t AS MATERIALIZED (SELECT CAST(sum(n) AS BIGINT) AS total, CAST(floor(sum(n) * 0.5) AS BIGINT) AS goal FROM lm),
+    sd AS MATERIALIZED (SELECT x.label AS a, y.label AS z FROM lm x, lm y WHERE x.label < y.label ORDER BY list_distance(x.c, y.c) DESC, a, z LIMIT 1),
+    s0 AS MATERIALIZED (SELECT a AS label, 0 AS shard FROM sd UNION ALL SELECT z, 1 FROM sd)"""
+    for i in range(clusters - 2):
+        to = f"s{i} s JOIN lm y USING (label)"
+        if linkage == "centroid":
+            out += f", m{i} AS MATERIALIZED (SELECT shard, list(m ORDER BY j) AS c FROM (SELECT shard, j, sum(n * c[j]) / sum(n) AS m FROM s{i} JOIN lm USING (label), range(1, 65) t(j) GROUP BY ALL) GROUP BY shard)"
+            to = f"m{i} y"
         out += f""", l{i} AS (SELECT sum(CASE WHEN shard = 0 THEN n END) AS n0, sum(CASE WHEN shard = 1 THEN n END) AS n1 FROM s{i} JOIN lm USING (label)),
         f{i} AS (SELECT x.label, any_value(x.n) AS n, min(CASE WHEN shard = 0 THEN list_distance(x.c, y.c) END) AS d0, min(CASE WHEN shard = 1 THEN list_distance(x.c, y.c) END) AS d1
-            FROM lm x, s{i} s JOIN lm y ON y.label = s.label WHERE x.label NOT IN (SELECT label FROM s{i}) GROUP BY x.label),
+            FROM lm x, {to} WHERE x.label NOT IN (SELECT label FROM s{i}) GROUP BY x.label),
         p{i} AS (SELECT f.*, CASE WHEN d0 < d1 THEN CASE WHEN n0 + n > goal * 1.06 THEN 1 ELSE 0 END ELSE CASE WHEN n1 + n > (total - goal) * 1.06 THEN 0 ELSE 1 END END AS shard FROM f{i} f, l{i}, t),
-        s{i + 1} AS (SELECT label, shard FROM s{i} UNION ALL (SELECT label, shard FROM p{i} ORDER BY CASE WHEN shard = 0 THEN d0 ELSE d1 END, label LIMIT 1))"""
+        s{i + 1} AS MATERIALIZED (SELECT label, shard FROM s{i} UNION ALL (SELECT label, shard FROM p{i} ORDER BY CASE WHEN shard = 0 THEN d0 ELSE d1 END, label LIMIT 1))"""
     return out
 
 
-def _pca_sql() -> str:
-    """The principal axis by a fixed number of power steps, written as a recursive query over one vector."""
-    return f"""{_LABELS}, w AS (SELECT j, sum(n * c[j]) / sum(n) AS m FROM lm, range(1, 65) t(j) GROUP BY j),
-    x AS (SELECT label, any_value(n) AS n, list(c[j] - m ORDER BY j) AS x FROM lm, w GROUP BY label),
-    co AS (SELECT i, list(s ORDER BY j) AS r FROM (SELECT i, j, sum(n * x[i] * x[j]) AS s FROM x, range(1, 65) a(i), range(1, 65) z(j) GROUP BY i, j) GROUP BY i),
-    cm AS (SELECT list(r ORDER BY i) AS m FROM co),
-    pw AS (SELECT 0 AS step, x AS v FROM x WHERE label = (SELECT min(label) FROM x)
-        UNION ALL SELECT step + 1, list_transform(u, lambda y: y / sqrt(list_inner_product(u, u))) FROM (SELECT step, list_transform(m, lambda r: list_inner_product(r, v)) AS u FROM pw, cm WHERE step < {POWER})),
-    pr AS (SELECT label, n, list_inner_product(x, v) AS p FROM x, pw WHERE step = {POWER}),
+def _pca_sql(steps: int = POWER, stop: float = 0.0) -> str:
+    """Shards of the clusters of lm; the principal axis by power steps, written as a recursive query over one vector."""
+    return f""", w AS MATERIALIZED (SELECT j, sum(n * c[j]) / sum(n) AS m FROM lm, range(1, 65) t(j) GROUP BY j),
+    x AS MATERIALIZED (SELECT label, any_value(n) AS n, list(c[j] - m ORDER BY j) AS x FROM lm, w GROUP BY label),
+    co AS MATERIALIZED (SELECT i, list(s ORDER BY j) AS r FROM (SELECT i, j, sum(n * x[i] * x[j]) AS s FROM x, range(1, 65) a(i), range(1, 65) z(j) GROUP BY i, j) GROUP BY i),
+    cm AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM co),
+    pw AS (SELECT 0 AS step, list_transform(x, lambda y: y / sqrt(list_inner_product(x, x))) AS v, false AS done FROM x WHERE label = (SELECT min(label) FROM x)
+        UNION ALL SELECT step + 1, y, abs(abs(list_inner_product(y, v)) - 1) < {stop} FROM
+            (SELECT step, v, list_transform(u, lambda y: y / sqrt(list_inner_product(u, u))) AS y FROM (SELECT step, v, list_transform(m, lambda r: list_inner_product(r, v)) AS u FROM pw, cm WHERE step < {steps} AND NOT done))),
+    pr AS MATERIALIZED (SELECT label, n, list_inner_product(x, v) AS p FROM x, (SELECT v FROM pw ORDER BY step DESC LIMIT 1)),
     cu AS (SELECT label, n, row_number() OVER o AS i, sum(n) OVER o AS cum, (SELECT CAST(floor(sum(n) * 0.5) AS BIGINT) FROM lm) AS goal FROM pr WINDOW o AS (ORDER BY p, label ROWS UNBOUNDED PRECEDING)),
-    ct AS (SELECT greatest(1, least(9, CASE WHEN i > 1 AND abs(cum - n - goal) < abs(cum - goal) THEN i - 1 ELSE i END)) AS cut FROM cu WHERE cum >= goal ORDER BY i LIMIT 1),
-    me AS (SELECT label AS cluster_id, n AS size, CAST(CASE WHEN i <= cut THEN 0 ELSE 1 END AS INT) AS shard_id FROM cu, ct)"""
+    ct AS (SELECT greatest(1, least((SELECT count(*) FROM lm) - 1, CASE WHEN i > 1 AND abs(cum - n - goal) < abs(cum - goal) THEN i - 1 ELSE i END)) AS cut FROM cu WHERE cum >= goal ORDER BY i LIMIT 1),
+    me AS MATERIALIZED (SELECT label AS cluster_id, n AS size, CAST(CASE WHEN i <= cut THEN 0 ELSE 1 END AS INT) AS shard_id FROM cu, ct)"""
+
+
+def _index_sql(clusters: int | str, rounds: int) -> str:
+    """The vectors of a fitted index as the table ib, as the merge by principal axis deals them."""
+    return f"WITH RECURSIVE {_BASE}{_fine_sql(clusters, rounds)}{_pca_sql(100, 1e-6)}, ib AS MATERIALIZED (SELECT vec_id, v, shard_id FROM fa JOIN me USING (cluster_id))"
+
+
+def _routed_sql(router: str) -> str:
+    """The shard of each query's nearest row of ``router(shard_id, c)``."""
+    return f"SELECT qid, shard_id FROM q, {router} r QUALIFY row_number() OVER (PARTITION BY qid ORDER BY list_distance(q.v, r.c), shard_id) = 1"
+
+
+def _hash_sql(seed: int) -> str:
+    return f"('0x' || substr(md5('{seed}:' || vec_id), 1, 8))::BIGINT"
+
 
+#: The production index: fine clusters and iterations as the catalogue sets them, replicas of tau 1.1, the nearest shard.
+_INDEX = _index_sql("(SELECT least(1000, count(*) // 2) FROM e)", 25) + _means_sql("ib") + _top2_sql("ib", 1.1) + _ROUTE
+_FOUND = f"""SELECT qid, vec_id, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank FROM
+    (SELECT qid, wr.vec_id, min(pow(list_distance(rt.v, ib.v), 2)) AS dist FROM rt JOIN wr USING (shard_id) JOIN ib ON ib.vec_id = wr.vec_id WHERE rt.r = 1 GROUP BY ALL)"""
+_SMALL = _index_sql(20, 5)
 
 _W = f"WITH {_BASE}"
 _ALL_PAIRS = "SELECT qid, vec_id, pow(list_distance(q.v, b.v), 2) AS dist FROM q, b"
@@ -410,10 +462,11 @@ _ONE = "(SELECT v AS o FROM e WHERE vec_id = 0)"
 ORACLES: dict[str, str] = {
     "knn_exact_l2": _knn(_ALL_PAIRS),
     "knn_exact_ip": _knn("SELECT qid, vec_id, -list_inner_product(q.v, b.v) * (1 + label) AS dist FROM q, b", cols="qid, CAST(rank AS INT) AS rank, vec_id, round(-dist, 6) AS ip"),
-    "topk_padded": f"{_W}, p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank FROM ({_ALL_PAIRS} WHERE vec_id < {HELD + 4})), w AS (SELECT qid, rank FROM q, range(1, {K + 1}) t(rank)) SELECT qid, CAST(rank AS INT) AS rank, coalesce(vec_id, -1) AS vec_id, round(dist, 6) AS dist FROM w LEFT JOIN p USING (qid, rank)",
+    "knn_ties": _knn(f"SELECT qid, vec_id + c * {NEW_IDS} AS vec_id, pow(list_distance(q.v, b.v), 2) AS dist FROM q, b, range({COPIES}) t(c)", TIED),
+    "topk_padded": f"{_W}, p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank FROM ({_ALL_PAIRS}) WHERE dist < {RADIUS}), w AS (SELECT qid, rank FROM q, range(1, {K + 1}) t(rank)) SELECT qid, CAST(rank AS INT) AS rank, coalesce(vec_id, -1) AS vec_id, round(dist, 6) AS dist FROM w LEFT JOIN p USING (qid, rank)",
     "range_filter": f"{_W} SELECT vec_id, round(pow(list_distance(v, o), 2), 6) AS dist FROM b, {_ONE} WHERE pow(list_distance(v, o), 2) < 1.8",
-    "vector_functions": f"{_W} SELECT vec_id, round(pow(list_distance(v, o), 2), 6) AS sq, round(list_distance(v, o), 6) AS l2, round(list_inner_product(v, o), 6) AS ip, round(sqrt(list_inner_product(v, v)), 6) AS norm, round(list_inner_product(v, o) - list_inner_product(o, o), 6) AS proj, round((v[1] - o[1]) / list_distance(v, o), 6) AS unit0 FROM b, {_ONE}",
-    "query_limit": _knn(_ALL_PAIRS + " WHERE qid < 5", 3),
+    "vector_functions": f"{_W} SELECT vec_id, round(pow(list_distance(v, o), 2), 6) AS sq, round(list_distance(v, o), 6) AS l2, round(list_inner_product(v, o), 6) AS ip, round(sqrt(list_inner_product(v, v)), 6) AS norm, round(list_inner_product(v, o) - list_inner_product(o, o), 6) AS proj, round(CASE WHEN list_distance(v, o) > 0 THEN (v[1] - o[1]) / list_distance(v, o) ELSE 0 END, 6) AS unit0 FROM b, {_ONE}",
+    "query_limit": _knn(_ALL_PAIRS + " WHERE qid IN (SELECT qid FROM q ORDER BY qid LIMIT 3)", 3),
     "shard_means": f"{_W} SELECT shard_id, CAST(j - 1 AS INT) AS dim, round(avg(v[j]), 6) AS value FROM b, range(1, 65) t(j) GROUP BY shard_id, j",
     "weighted_mean": f"{_W} SELECT 0 AS shard_id, CAST(j - 1 AS INT) AS dim, round(avg(v[j]), 6) AS value FROM b, range(1, 65) t(j) GROUP BY j",
     "kmeans_lloyd": f"{_W}{_lloyd_sql()} SELECT cluster_id, CAST(j - 1 AS INT) AS dim, round(c[j], 6) AS value FROM c{ROUNDS}, range(1, 65) t(j)",
@@ -421,9 +474,18 @@ ORACLES: dict[str, str] = {
     "cluster_sizes": f"{_W} SELECT CAST(i AS INT) AS cluster_id, count(vec_id) AS size FROM range(12) t(i) LEFT JOIN b ON label = i GROUP BY i",
     "cluster_stats": f"{_W}, s AS (SELECT label, count(*) AS n FROM b GROUP BY label) SELECT min(n) AS min_size, max(n) AS max_size, CAST(floor(sum(n) / count(*)) AS BIGINT) AS avg_size FROM s",
     "farthest_pair": f"{_W}{_LABELS} SELECT x.label AS a, y.label AS b, round(list_distance(x.c, y.c), 6) AS dist FROM lm x, lm y WHERE x.label < y.label ORDER BY list_distance(x.c, y.c) DESC, 1, 2 LIMIT 1",
-    "pca_bisection": f"WITH RECURSIVE {_BASE}{_pca_sql()} SELECT cluster_id, size, shard_id FROM me",
-    "cluster_to_shard": f"WITH RECURSIVE {_BASE}{_pca_sql()} SELECT vec_id, me.shard_id FROM b JOIN me ON cluster_id = label",
-    "greedy_min": f"{_W}{_greedy_sql()} SELECT label AS cluster_id, n AS size, CAST(shard AS INT) AS shard_id FROM s8 JOIN lm USING (label)",
+    "pca_bisection": f"WITH RECURSIVE {_BASE}{_LABELS}{_pca_sql()} SELECT cluster_id, size, shard_id FROM me",
+    "cluster_to_shard": f"WITH RECURSIVE {_BASE}{_LABELS}{_pca_sql()} SELECT vec_id, me.shard_id FROM b JOIN me ON cluster_id = label",
+    "greedy_min": f"{_W}{_LABELS}{_greedy_sql()} SELECT label AS cluster_id, n AS size, CAST(shard AS INT) AS shard_id FROM s8 JOIN lm USING (label)",
+    "greedy_centroid": f"{_W}{_LABELS}{_greedy_sql(linkage='centroid')} SELECT label AS cluster_id, n AS size, CAST(shard AS INT) AS shard_id FROM s8 JOIN lm USING (label)",
+    "hash_partition": f"SELECT vec_id, CAST({_hash_sql(42)} % 4 AS INT) AS shard_id FROM embeddings",
+    "index_search": f"{_INDEX} SELECT qid, CAST(rank AS INT) AS rank, vec_id, round(dist, 6) AS dist FROM ({_FOUND}) WHERE rank <= {K}",
+    "index_save_load": f"{_INDEX} SELECT qid, CAST(rank AS INT) AS rank, vec_id, round(dist, 6) AS dist FROM ({_FOUND}) WHERE rank <= {K}",
+    "index_recall": f"{_INDEX}, g AS (SELECT qid, vec_id FROM ({_FOUND}) WHERE rank <= {K}), tr AS (SELECT qid, vec_id FROM ({_ALL_PAIRS}) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) <= {K}) SELECT count(*) AS hits, round(count(*) / ({K}.0 * (SELECT count(*) FROM q)), 6) AS recall FROM g JOIN tr USING (qid, vec_id)",
+    "index_greedy": f"{_W}{_fine_sql(20, 5)}{_greedy_sql(20, 'centroid')} SELECT CAST(shard AS INT) AS shard_id, CAST(sum(n) AS BIGINT) AS n_vectors, CAST(sum(n) AS BIGINT) AS n_rows_physical FROM s18 JOIN lm USING (label) GROUP BY shard",
+    "index_kmeans": f"{_W}{_fine_sql(4, 5)} SELECT label AS shard_id, n AS n_vectors, n AS n_rows_physical FROM lm WHERE n > 0",
+    "index_subcluster_router": f"{_SMALL}{_lloyd_sql(8, 10, 'ib', 'r', 'shard_id')} {_routed_sql('rc10')}",
+    "index_sample_router": f"{_SMALL}, sr AS (SELECT shard_id, v AS c FROM ib QUALIFY row_number() OVER (PARTITION BY shard_id ORDER BY {_hash_sql(142)}, vec_id) <= 8) {_routed_sql('sr')}",
     "shard_sizes": f"{_W} SELECT shard_id, count(*) AS n_vectors FROM b GROUP BY shard_id",
     "assign_top2": f"{_W}{_MEANS}{_TOP2} SELECT vec_id, cluster_id, round(dist, 6) AS dist, second_id, round(second_dist, 6) AS second_dist FROM t2",
     "boundary_vectors": f"{_W}{_MEANS}{_TOP2} SELECT vec_id, first_id, second_id, round(ratio, 6) AS ratio FROM bd",
@@ -438,8 +500,8 @@ ORACLES: dict[str, str] = {
     "sharded_knn_nprobe2": _knn(_sharded_sql(2), extra=_MEANS + _ROUTE),
     "sharded_knn_nested": _knn(_sharded_sql(1, "(SELECT wr.vec_id, wr.shard_id, b.v FROM wr JOIN b USING (vec_id))"), extra=_MEANS + _TOP2 + _ROUTE),
     "shard_candidates": f"{_W}, p AS (SELECT qid, vec_id, shard_id, pow(list_distance(q.v, b.v), 2) AS dist, row_number() OVER (PARTITION BY qid, shard_id ORDER BY list_distance(q.v, b.v), vec_id) AS rank FROM q, b) SELECT qid, CAST(rank AS INT) AS rank, vec_id, round(dist, 6) AS dist, shard_id FROM p WHERE rank <= 3",
-    "recall_at_k": f"{_W}{_MEANS}{_ROUTE}, g AS (SELECT qid, vec_id FROM ({_sharded_sql(1)}) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) <= {K}), t AS (SELECT qid, vec_id FROM ({_ALL_PAIRS}) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) <= {K}) SELECT count(*) AS hits, round(count(*) / {HELD * K}.0, 6) AS recall FROM g JOIN t USING (qid, vec_id)",
-    "batched_knn": _knn(_sharded_sql(1), extra=_MEANS + _ROUTE, cols="CAST(floor(qid / 8) AS BIGINT) AS batch_id, qid, CAST(rank AS INT) AS rank, vec_id, round(dist, 6) AS dist"),
+    "recall_at_k": f"{_W}{_MEANS}{_ROUTE}, g AS (SELECT qid, vec_id FROM ({_sharded_sql(1)}) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) <= {K}), t AS (SELECT qid, vec_id FROM ({_ALL_PAIRS}) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) <= {K}) SELECT count(*) AS hits, round(count(*) / ({K}.0 * (SELECT count(*) FROM q)), 6) AS recall FROM g JOIN t USING (qid, vec_id)",
+    "batched_knn": _knn(_sharded_sql(1), extra=_MEANS + _ROUTE, cols="(SELECT CAST(floor((count(*) - 1) / 2) AS BIGINT) FROM q WHERE q.qid <= p.qid) AS batch_id, qid, CAST(rank AS INT) AS rank, vec_id, round(dist, 6) AS dist"),
     "stream_knn": _knn(_sharded_sql(1), extra=_MEANS + _ROUTE),
     "incremental_add": f"{_W}{_MEANS}{_ROUTE} SELECT shard_id, count(*) AS n_vectors, count(*) AS n_rows_physical FROM (SELECT shard_id FROM b UNION ALL SELECT shard_id FROM rt WHERE r = 1) GROUP BY shard_id",
     "fvecs_roundtrip": "SELECT count(*) AS n_same FROM embeddings",
@@ -448,7 +510,7 @@ ORACLES: dict[str, str] = {
 QUERIES = {
     f.__name__: f
     for f in (
-        knn_exact_l2, knn_exact_ip, topk_padded, range_filter, vector_functions, query_limit, shard_means, weighted_mean, kmeans_lloyd, nearest_centroid, cluster_sizes, cluster_stats,
+        knn_exact_l2, knn_exact_ip, knn_ties, topk_padded, range_filter, vector_functions, query_limit, shard_means, weighted_mean, kmeans_lloyd, nearest_centroid, cluster_sizes, cluster_stats,
         farthest_pair, pca_bisection, cluster_to_shard, greedy_min, greedy_centroid, hash_partition, shard_sizes, assign_top2, boundary_vectors, boundary_replicas, local_global_ids,
         route_nprobe1, route_nprobe2, route_fine, route_all, queries_per_shard, sharded_knn_nprobe1, sharded_knn_nprobe2, sharded_knn_nested, shard_candidates, recall_at_k, batched_knn,
         incremental_add, index_search, index_recall, index_greedy, index_kmeans, index_subcluster_router, index_sample_router, index_save_load, hnsw_knn, fvecs_roundtrip, stream_knn,

@@ -12,6 +12,7 @@ from ..functions.vectors import check_dimension, check_metric
 from ..operators import clustering, merging, routing
 from ..operators.hnsw import build_graphs, hnsw_search
 from ..operators.scan import exact_knn, merge_topk, pad_topk, routed_scan
+from ..shared import Scratch
 
 PARTITIONERS = ("random", "kmeans", "finegrained")
 MERGES = ("pca", "greedy", "greedy_min")
@@ -70,31 +71,35 @@ class ShardedIndex:
         vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
         o.check(vectors.count())
         dim = check_dimension(vectors)
+        scratch = Scratch(vectors.sparkSession, "index")
         fine, fine_shard = None, None
         if o.partitioner == "random":
-            primary = clustering.random_partition(vectors, o.num_shards, o.seed)
-        elif o.partitioner == "kmeans":
-            fine = clustering.lloyd(vectors, o.num_shards, o.niter, metric=o.metric)
-            fine_shard = np.arange(len(fine))
-            primary = clustering.assign(vectors, fine, o.metric).select("vec_id", F.col("cluster_id").alias("shard_id"))
+            own = vectors.withColumn("shard_id", clustering.hash_shard(o.num_shards, o.seed))
         else:
-            fine = clustering.lloyd(vectors, o.num_fine_clusters, o.niter, metric=o.metric)
-            assigned = clustering.assign(vectors, fine, o.metric)
-            sizes = np.zeros(len(fine), np.int64)
-            for r in clustering.cluster_sizes(assigned, len(fine)).collect():
-                sizes[r.cluster_id] = r["size"]
-            if o.merge == "pca":
-                fine_shard = merging.pca_bisection(fine, sizes, o.partition_ratio).shard
+            k = o.num_shards if o.partitioner == "kmeans" else o.num_fine_clusters
+            # k-means is fitted on a bounded sample; every vector is assigned.
+            drawn = scratch.save(clustering.sample(vectors, k * clustering.POINTS_PER_CENTROID, o.seed))
+            fine = clustering.lloyd(drawn, k, o.niter, metric=o.metric)
+            scratch.drop(drawn)
+            if o.partitioner == "kmeans":
+                fine_shard = np.arange(k)
             else:
-                fine_shard = merging.greedy_merge(fine, sizes, o.partition_ratio, "min" if o.merge == "greedy_min" else "centroid")
-            to_shard = F.element_at(F.array(*[F.lit(int(s)) for s in fine_shard]), F.col("cluster_id") + 1)
-            primary = assigned.select("vec_id", to_shard.cast("int").alias("shard_id"))
-        own = vectors.join(primary, "vec_id")
+                sizes = np.zeros(k, np.int64)
+                for r in clustering.cluster_sizes(clustering.assign(vectors, fine, o.metric), k).collect():
+                    sizes[r.cluster_id] = r["size"]
+                if o.merge == "pca":
+                    fine_shard = merging.pca_bisection(fine, sizes, o.partition_ratio).shard
+                else:
+                    fine_shard = merging.greedy_merge(fine, sizes, o.partition_ratio, "min" if o.merge == "greedy_min" else "centroid")
+            own = clustering.with_shard(vectors, fine, fine_shard, o.metric)
         means = clustering.means_matrix(own, o.num_shards, dim)
-        members = own.select("vec_id", F.col("shard_id").cast("int").alias("shard_id"), F.lit(False).alias("is_replica"), "embedding")
         if o.nested and o.num_shards > 1:
-            copies = routing.replicas(routing.boundary(vectors, means, o.boundary_tau), primary)
-            members = members.unionByName(copies.join(vectors, "vec_id").select("vec_id", "shard_id", "is_replica", "embedding"))
+            members = clustering.with_copies(own, means, o.boundary_tau)
+        else:
+            members = own.select("vec_id", "shard_id", F.lit(False).alias("is_replica"), "embedding")
+        # Written once by shard: a search reads the routed shards and assigns nothing again.
+        members = scratch.save(members, by=("shard_id",))
+        own = members.where("not is_replica")
         shard, centroids = np.arange(o.num_shards), means
         if o.router == "means" and o.partitioner == "kmeans":
             centroids = fine
@@ -112,7 +117,7 @@ class ShardedIndex:
     def route(self, queries: DataFrame, nprobe: int = 1) -> DataFrame:
         return routing.route(queries, self.router_shard, self.router_centroids, nprobe, self.options.metric)
 
-    def search(self, queries: DataFrame, k: int = 10, nprobe: int = 1, method: str = "exact", padded: bool = False) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, nprobe: int = 1, method: str = "exact", padded: bool = False, ef_search: int | None = None) -> DataFrame:
         """(qid, rank, vec_id, dist). ``method`` 'exact' scans the routed shards, 'hnsw' walks their graphs."""
         if k < 1:
             raise ValueError("k must be positive")
@@ -121,7 +126,7 @@ class ShardedIndex:
         if method == "exact":
             out = merge_topk(routed_scan(self.members, routed, k, self.options.metric), k)
         elif method == "hnsw":
-            out = hnsw_search((self if self.graphs is not None else self.with_graphs()).graphs, routed, k, self.options.ef_search, self.options.metric)
+            out = hnsw_search((self if self.graphs is not None else self.with_graphs()).graphs, routed, k, ef_search or self.options.ef_search, self.options.metric)
         else:
             raise ValueError("method must be 'exact' or 'hnsw'")
         return pad_topk(out, queries, k) if padded else out
@@ -137,11 +142,12 @@ class ShardedIndex:
         """Primary and stored rows of each shard."""
         return self.members.groupBy("shard_id").agg(F.count_if(~F.col("is_replica")).alias("n_vectors"), F.count("*").alias("n_rows_physical"))
 
-    def reset(self) -> None:
-        """Give up what the session caches of this model; the model itself never changes."""
-        for df in (self.members, self.graphs):
-            if df is not None:
-                df.unpersist()
+    def reset(self) -> ShardedIndex:
+        """The index without its vectors; the tables that ``fit`` wrote are deleted, and older copies of it end with them."""
+        empty = self.members.sparkSession.createDataFrame([], self.members.schema)
+        if hasattr(self.members, "scratch_path"):
+            Scratch(self.members.sparkSession, "index").drop(self.members)
+        return replace(self, members=empty, graphs=None)
 
     def save(self, path: str) -> None:
         """Vectors partitioned by shard, router, graphs if built, and a one-row manifest."""
@@ -166,12 +172,12 @@ class ShardedIndex:
         return ShardedIndex(o, m.dim, members, np.array([r.shard_id for r in meta]), np.array([r.centroid for r in meta]), graphs)
 
 
-def evaluate(index: ShardedIndex, base: DataFrame, queries: DataFrame, k: int = 10, nprobe: int = 1, method: str = "exact") -> dict[str, float]:
+def evaluate(index: ShardedIndex, base: DataFrame, queries: DataFrame, k: int = 10, nprobe: int = 1, method: str = "exact", ef_search: int | None = None) -> dict[str, float]:
     """Recall against the exact scan, and the search's latency and throughput."""
     from ..operators.evaluation import recall_at_k, timed
 
     n = queries.count()
     truth = exact_knn(base, queries, k, index.options.metric)
-    rows, out = timed(lambda: index.search(queries, k, nprobe, method), n)
+    rows, out = timed(lambda: index.search(queries, k, nprobe, method, ef_search=ef_search), n)
     found = base.sparkSession.createDataFrame(rows, "qid long, rank int, vec_id long, dist double") if rows else base.sparkSession.createDataFrame([], "qid long, vec_id long")
     return out | {"recall": recall_at_k(found, truth, n, k).first().recall}

@@ -18,7 +18,7 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     df = e.entry(spark)
-    assert df.columns == ["qid", "rank", "vec_id", "dist"] and df.count() == 500
+    assert df.columns == ["qid", "rank", "vec_id", "dist"] and df.count() == 50
 
 
 def test_index_recall_is_production_grade(spark):

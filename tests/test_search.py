@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from lodestar.functions import vectors as V
 from lodestar.operators import clustering, evaluation, merging, routing
 from lodestar.operators.hnsw import Graph
+from lodestar.operators.numbering import row_numbers
 from lodestar.operators.scan import exact_knn, merge_topk, pad_topk, routed_scan
 from lodestar.plans.index import Options, ShardedIndex, evaluate
 from lodestar.sources import fvecs
-from lodestar.streaming.batches import batched_search, stream_search
+from lodestar.streaming.batches import batched_search, run_batches, stream_search
 
 
 def frame(spark, x, first=0, name="vec_id"):
@@ -55,6 +56,29 @@ def test_exact_in_query_blocks(data, monkeypatch):
     assert ids(exact_knn(base, queries, 5)) == brute(x, q, 5)
 
 
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_ties_go_to_the_lowest_ids(spark, metric):
+    rng = np.random.default_rng(9)
+    some = rng.normal(size=(6, 8)).astype(np.float32)
+    x = some[rng.integers(0, 6, 900)] * 3
+    order = rng.permutation(len(x))
+    q = np.concatenate([some[:3] * 3, rng.normal(size=(4, 8)).astype(np.float32)])
+    base = spark.createDataFrame([(int(i), [float(v) for v in x[i]]) for i in order], "vec_id long, embedding array<float>")
+    for parts in (1, 5):
+        assert ids(exact_knn(base.repartition(parts), frame(spark, q, name="qid"), 7, metric)) == brute(x, q, 7, metric)
+
+
+def test_row_numbers_of_ranges(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(i), int(rng.integers(0, 3)), bool(rng.integers(0, 2))) for i in rng.permutation(500)]
+    df = spark.createDataFrame(rows, "vec_id long, shard_id int, is_replica boolean").repartition(4)
+    for size in (1_000_000, 37):
+        got = row_numbers(df, ["shard_id"], "vec_id", "at", size).collect()
+        want = {r: sum(s == r[1] and i < r[0] for i, s, _ in rows) for r in rows}
+        assert len(got) == 500 and all(r["at"] == want[r.vec_id, r.shard_id, r.is_replica] for r in got)
+    assert row_numbers(df.limit(0), ["shard_id"], "vec_id", "at").count() == 0
+
+
 def test_padding(spark, data):
     _, _, base, queries = data
     few = base.where("vec_id < 3")
@@ -172,6 +196,28 @@ def test_append_keeps_ids(spark, data):
     assert got == [[5000 + i] for i in range(20)]
 
 
+def test_fit_deals_without_a_join_and_reset_empties(data):
+    _, q, base, queries = data
+    index = ShardedIndex.fit(base, num_fine_clusters=6, niter=2, nested=True, boundary_tau=1.2)
+    plan = index.members._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    # The one-pass copies are those of the boundary rule.
+    own = index.members.where("not is_replica")
+    copies = routing.replicas(routing.boundary(own, index.router_centroids, 1.2), own)
+    pairs = lambda df: sorted((r.vec_id, r.shard_id) for r in df.collect())
+    assert pairs(copies) == pairs(index.members.where("is_replica"))
+    empty = index.reset()
+    assert empty.counts().count() == 0 and empty.search(queries, 3, 1).count() == 0
+    assert empty.append(frame(base.sparkSession, q)).counts().agg(F.sum("n_vectors")).first()[0] == 20
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound|FAILED_READ_FILE"):
+        index.members.count()
+
+
+def test_kmeans_sample_is_bounded(spark, data):
+    _, _, base, _ = data
+    assert clustering.sample(base, 1000).count() == 300
+    assert 30 <= clustering.sample(base, 60).count() <= 90
+
 def test_save_and_load(data, tmp_path):
     _, _, base, queries = data
     index = ShardedIndex.fit(base, num_fine_clusters=6, niter=2, nested=True, graphs=True)
@@ -202,6 +248,9 @@ def test_batches_and_stream_equal_one_search(spark, data, tmp_path):
     want = ids(index.search(queries, 4, 1))
     rows = batched_search(index, queries, 6, 4)
     assert ids(rows) == want and rows.where("batch_id <> floor(qid / 6)").count() == 0
+    each = list(run_batches(index, queries, 6, 4))
+    assert [t[:2] for _, t in each] == [(0, 6), (1, 6), (2, 6), (3, 2)]
+    assert [[r.vec_id for r in rows if r.qid == i] for rows, _ in each for i in sorted({r.qid for r in rows})] == want
     queries.repartition(3).write.parquet(str(tmp_path / "q"))
     stream = spark.readStream.schema(queries.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "q"))
     run, timings = stream_search(index, stream, str(tmp_path / "out"), str(tmp_path / "state"), 4)
@@ -237,6 +286,10 @@ def test_command_line(spark, data, tmp_path, capsys):
     main(["build", "--base", str(tmp_path / "b"), "--index", str(tmp_path / "i"), "--num-fine-clusters", "6", "--niter", "2", "--nested"])
     main(["search", "--base", str(tmp_path / "b"), "--query", str(tmp_path / "q.fvecs"), "--index", str(tmp_path / "i"), "--nq", "5", "--nprobe", "2", "--csv", str(tmp_path / "c")])
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["recall"] == 1
+    for more in (["--bs", "2"], ["--bs", "2", "--pipeline"]):
+        main(["search", "--base", str(tmp_path / "b"), "--query", str(tmp_path / "q.fvecs"), "--index", str(tmp_path / "i"), "--nq", "5", *more])
+        t = json.loads(capsys.readouterr().out.strip().splitlines()[-2])
+        assert (t["batches"], t["queries"]) == (3, 5)
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).columns == ["query_id", "rank", "label", "distance"]
 
 
