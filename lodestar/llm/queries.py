@@ -38,9 +38,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, score, training_rows
 
     docs = _docs(spark, sf_dir)
-    out = score(docs, fit(*training_rows(docs, _labels(spark, sf_dir))))
+    out = score(docs, fit(*training_rows(docs, _labels(spark, sf_dir))), locate=True)
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

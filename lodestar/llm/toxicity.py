@@ -19,22 +19,55 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from .common import Scratch
+from .common import Aside, Scratch, text_blocks
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 PREFIXES = (4, 5, 6)
 SPACE_BITS = 22
 
 
+def word_of(token: str) -> str:
+    """The letters of a token in lower case."""
+    return "".join(filter(str.isalpha, token.lower()))
+
+
 def token_features(token: str) -> list[int]:
-    """Hashed features of one token: its letters in lower case and their beginnings of 4 to 6 letters."""
-    w = "".join(filter(str.isalpha, token.lower()))
+    """Hashed features of one token: its word and the word's beginnings of 4 to 6 letters."""
+    w = word_of(token)
     if not w:
         return []
     names = [w + "$", *(w[:k] for k in PREFIXES if len(w) >= k)]
     return [zlib.crc32(x.encode()) & ((1 << SPACE_BITS) - 1) for x in names]
 
 
+class TokenFeatures(dict):
+    """(word, features) of tokens as met, None for those without a letter; with ``known`` all other features go.
+
+    A word none of whose features stays is the empty word. Long tokens are not kept, nor more than ``most``.
+    """
+
+    def __init__(self, known: set[int] | None = None, most: int = 200_000, longest: int = 40):
+        self.known, self.most, self.longest = known, most, longest
+
+    def __missing__(self, token: str) -> tuple[str, tuple[int, ...]] | None:
+        f = tuple(token_features(token))
+        out = (word_of(token), f) if f else None
+        if f and self.known is not None:
+            f = tuple(x for x in f if x in self.known)
+            out = (out[0], f) if f else ("", ())
+        if len(token) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[token] = out
+        return out
+
+
+def sentence_features(words: list[str], features: TokenFeatures) -> list[int] | None:
+    """A feature counts once for each distinct word of the sentence that has it; None without a letter. Fit and score use this rule."""
+    have = dict(filter(None, map(features.__getitem__, words)))
+    return [x for f in have.values() for x in f] if have else None
+
+
 @dataclass
 class ToxicityModel:
     """Weights by feature id (sorted) and the sentence bias."""
@@ -57,7 +90,7 @@ def fit(texts: list[str | None], toxic: list[int], min_docs: int = 3, steps: int
     none = ToxicityModel(np.zeros(0, np.int64), np.zeros(0), -12.0)
     if not len(y) or y.sum() == 0:
         return none
-    cache: dict[str, list[int]] = {}
+    cache = TokenFeatures()
     flat: list[np.ndarray] = []
     lengths: list[int] = []
     sentences: list[int] = []
@@ -65,14 +98,8 @@ def fit(texts: list[str | None], toxic: list[int], min_docs: int = 3, steps: int
     for t in texts:
         n = len(flat)
         for sent in SENTENCE.findall(t or ""):
-            ids: set[int] = set()
-            for tok in sent.split():
-                f = cache.get(tok)
-                if f is None:
-                    f = cache[tok] = token_features(tok)
-                ids.update(f)
-            if ids:
-                flat.append(np.fromiter(ids, np.int32, len(ids)))
+            if ids := sentence_features(sent.split(), cache):
+                flat.append(np.array(ids, np.int32))
         lengths.extend(map(len, flat[n:]))
         sentences.append(len(flat) - n)
         if len(flat) > n:
@@ -112,13 +139,12 @@ def fit(texts: list[str | None], toxic: list[int], min_docs: int = 3, steps: int
     return ToxicityModel(known[w > 0], w[w > 0], float(b))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = 6_000, max_chars: int = 14_000_000, label: str = "toxic") -> tuple[list, list]:
+def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = 6_000, max_chars: int = 14_000_000, label: str = "toxic", text: str = "text") -> tuple[list, list]:
     """Texts and labels of at most about ``max_labelled`` labelled rows outside the held-out fifth and ``max_chars``.
 
     The held-out fifth are ids whose crc32 as text is a multiple of 5; they never reach the fit. The bounds limit the
     fit only. Null ids and labels are not used; an id labelled twice takes the larger label.
     """
-    scratch = Scratch(docs.sparkSession, "toxicity")
     known = labels.where(f"doc_id is not null and {label} is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     known = known.groupBy("doc_id").agg(F.max(label).alias("_y"))
     slots = 1 << 20
@@ -126,10 +152,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = 6_000,
     share = min(1.0, max_labelled / max(1, known.count()))
     ids = known.where(draw < int(share * slots))
     # The drawn ids are bounded by max_labelled.
-    rows = scratch.save(docs.select("doc_id", F.col("text").alias("_t")).join(F.broadcast(ids), "doc_id"))
-    chars = rows.agg(F.sum(F.length("_t"))).first()[0] or 0
-    share *= min(1.0, max_chars / max(1, chars))
-    got = rows.where(draw < int(share * slots)).orderBy("doc_id").select("_t", "_y").collect()
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    rows = docs.select("doc_id", F.col(text).alias("_t")).join(F.broadcast(ids), "doc_id")
+    rows = scratch.save(rows.withColumn("_d", draw).withColumn("_n", F.length("_t")).withColumn("_r", F.monotonically_increasing_id()))
+    # In the order of the draw, as many as fit; a text that does not is left to the others.
+    take, left = [], max_chars
+    for r in sorted(rows.select("_d", "_r", "_n").collect()):
+        if (r._n or 0) <= left:
+            take.append(r._r)
+            left -= r._n or 0
+    picked = docs.sparkSession.createDataFrame([(r,) for r in take], "_r long")
+    got = rows.join(F.broadcast(picked), "_r").orderBy("_r").select("_t", "_y").collect()
     scratch.drop(rows)
     return [r[0] for r in got], [r[1] for r in got]
 
@@ -137,47 +170,38 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = 6_000,
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",), locate: bool = False) -> DataFrame:
     """``keep`` columns, score (0 to 1) and, with ``locate``, offending: (start, end, score) of sentences of 0.5 or more.
 
-    Whole texts. Null, empty and wordless texts score 0. One row for each row.
+    Whole texts. Null, empty and wordless texts score 0, and so do sentences without a letter. One row for each row.
     """
-    schema = docs.select(*keep).schema.add("score", "double")
+    ship(docs.sparkSession)
+    aside = Aside(keep)
+    rows = docs.select(*aside.columns, F.col(text).alias("_text"))
+    schema = rows.drop("_text").schema.add("score", "double")
     if locate:
         schema = schema.add("offending", T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("score", "double")))
     shared = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.bias))
 
-    ship(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, weights, bias = shared.value
         table = dict(zip(features.tolist(), weights.tolist(), strict=True))
-
-        class Sums(dict):
-            def __missing__(self, tok: str) -> float:
-                if len(self) > 1_000_000:
-                    self.clear()
-                x = self[tok] = sum(table.get(f, 0.0) for f in token_features(tok))
-                return x
-
-        cache = Sums()
-        get = cache.__getitem__
+        # Features without a weight add nothing.
+        cache = TokenFeatures(set(table))
+        weight = table.__getitem__
         for b in batches:
-            out, where = [], []
-            for t in b.column(len(keep)).to_pylist():
-                z, at = [], []
-                for s in SENTENCE.finditer(t or "") if locate else SENTENCE.findall(t or ""):
-                    if words := (s.group() if locate else s).split():
-                        z.append(bias + sum(map(get, set(words))))
-                        if locate:
+            for first, texts in text_blocks(b.column(b.num_columns - 1), 2_000_000):
+                part, out, where = b.slice(first, len(texts)), [], []
+                for t in texts.to_pylist():
+                    z, at = [], []
+                    for s in SENTENCE.finditer(t):
+                        if (ids := sentence_features(s.group().split(), cache)) is not None:
+                            z.append(bias + sum(map(weight, ids)))
                             at.append(s.span())
-                zz = np.clip(np.array(z), -30, 30)
-                out.append(float(-np.expm1(-np.logaddexp(0, zz).sum())))
+                    zz = np.clip(np.array(z), -30, 30)
+                    out.append(float(-np.expm1(-np.logaddexp(0, zz).sum())))
+                    if locate:
+                        where.append([{"start": i, "end": j, "score": float(1 / (1 + np.exp(-x)))} for (i, j), x in zip(at, zz.tolist(), strict=True) if x >= 0])
+                cols = [*part.columns[:-1], pa.array(out, pa.float64())]
                 if locate:
-                    p = 1 / (1 + np.exp(-zz))
-                    where.append([{"start": i, "end": j, "score": float(x)} for (i, j), x in zip(at, p, strict=True) if x >= 0.5])
-            cols = [*b.columns[: len(keep)], pa.array(out, pa.float64())]
-            names = [*keep, "score"]
-            if locate:
-                kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-                cols, names = [*cols, pa.array(where, kind)], [*names, "offending"]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+                    cols.append(pa.array(where, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))))
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    return aside.back(rows.mapInArrow(run, schema), "score", *["offending"] * locate)
