@@ -2,8 +2,9 @@
 
 A logistic model over binned text features gives each document's evidence. The evidence is summed over each path and
 host; a host's rate is shrunk toward the global rate and a path's toward its host's, the more the fewer documents it
-has, with prior strengths fitted by moments. A document's posterior log odds are its own plus those of its path
-against the global ones.
+has, with prior strengths fitted by moments. A document's posterior log odds are its own plus those that the other
+documents of its path and host give the path, against the global ones: its own evidence counts once, so that a document
+alone on its site has the global prior.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import Scratch
+from .common import Aside, Scratch, text_blocks
 
 FEATURES = ("log_words", "mean_word", "symbol_rate", "distinct_rate", "stutter_rate", "dup_line_rate", "digit_rate", "upper_rate", "short_rate", "end_rate", "letter_rate", "words_per_line")
 SYMBOL = re.compile(r"[#*$%&|<>{}\[\]\\^~=_@]")
@@ -82,7 +83,7 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 24, steps: int = 300, rate: fl
     return QualityModel(edges, w.reshape(len(FEATURES), bins), b)
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+def labelled_features(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of at most about ``max_labelled`` rows, drawn by a hash of doc_id; the bound limits the fit only."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_y"))
     share = min(1.0, max_labelled / max(1, known.count()))
@@ -92,30 +93,33 @@ def labelled_features(docs: DataFrame, labels: DataFrame, max_labelled: int = 20
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features_of(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], names=["y", "x"])
+            for at, texts in text_blocks(b.column(1), 1_000_000):
+                yield pa.RecordBatch.from_arrays([b.column(0)[at : at + len(texts)], pa.array([features_of(t) for t in texts.to_pylist()], pa.list_(pa.float64()))], names=["y", "x"])
 
-    rows = docs.select("doc_id", F.col("text").alias("_t")).join(F.broadcast(ids), "doc_id")
+    rows = docs.select("doc_id", F.col(text).alias("_t")).join(F.broadcast(ids), "doc_id")
     got = rows.select(F.col("_y").cast("int").alias("y"), "_t").mapInArrow(run, "y int, x array<double>").collect()
     x = np.array([r.x for r in got], np.float64).reshape(-1, len(FEATURES))
     return x, np.array([r.y for r in got], np.float64)
 
 
-def with_evidence(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
-    """``docs`` with ``evidence``, the document's own probability of quality 1."""
-    schema = docs.drop("evidence").schema.add("evidence", "double")
-    names = [c for c in docs.columns if c != "evidence"]
+def with_evidence(docs: DataFrame, model: QualityModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns and ``evidence``, the document's own probability of quality 1."""
+    aside = Aside(keep)
+    rows = docs.select(*aside.columns, F.col(text).alias("_text"))
+    schema = rows.drop("_text").schema.add("evidence", "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = names.index(text)
 
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            x = np.array([features_of(t) for t in b.column(at).to_pylist()], np.float64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.evidence(x))], names=[*names, "evidence"])
+            for at, texts in text_blocks(b.column(b.num_columns - 1), 2_000_000):
+                x = np.array([features_of(t) for t in texts.to_pylist()], np.float64).reshape(-1, len(FEATURES))
+                part = b.slice(at, len(texts))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(m.evidence(x))], names=schema.names)
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return aside.back(rows.mapInArrow(run, schema), "evidence")
 
 
 def _logit(c: Column) -> Column:
@@ -134,40 +138,40 @@ def _strength(rates: DataFrame, n: str, k: str, prior: Column) -> float:
     return float(min(1e6, max(1.0, mean / spread - 1))) if spread > 0 else 1e6
 
 
-def posterior(scored: DataFrame, scratch: Scratch, host: str = "source", path: str = "lang") -> DataFrame:
-    """``scored`` (with evidence) with site_rate and quality, the posterior probability of quality 1.
+def posterior(scored: DataFrame, scratch: Scratch) -> DataFrame:
+    """``scored(_host, _path, evidence, ...)`` with site_rate and quality, the posterior probability of quality 1.
 
     Null hosts and paths are sites of their own. All rates come from all rows; hot hosts are summed before the shuffle.
     """
-    site = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")).alias(a) for c, a in ((host, "_host"), (path, "_path"))]
-    paths = scratch.save(scored.select(*site, "evidence").groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("evidence").alias("k")))
+    scored = scored.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("_host", "_path")})
+    paths = scratch.save(scored.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("evidence").alias("k")))
     top = paths.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     rate = top.k / top.n if top.n else 0.5
     hosts = paths.groupBy("_host").agg(F.sum("n").alias("hn"), F.sum("k").alias("hk"))
-    m = _strength(hosts, "hn", "hk", F.lit(rate))
-    hosts = hosts.withColumn("host_rate", (F.col("hk") + m * rate) / (F.col("hn") + m)).select("_host", "host_rate")
+    of_host = _strength(hosts, "hn", "hk", F.lit(rate))
     both = scratch.save(paths.join(hosts, "_host"))
-    m = _strength(both, "n", "k", F.col("host_rate"))
-    sites = scratch.save(both.select("_host", "_path", ((F.col("k") + m * F.col("host_rate")) / (F.col("n") + m)).alias("site_rate")))
-    if sites.count() <= BROADCAST_SITES:
-        sites = F.broadcast(sites)
-    out = scored.withColumns({"_host": site[0], "_path": site[1]}).join(sites, ["_host", "_path"]).drop("_host", "_path")
-    odds = _logit(F.col("evidence")) + _logit(F.col("site_rate")) - _logit(F.lit(rate))
-    return out.withColumn("quality", 1 / (1 + F.exp(-odds)))
-
-
-def classify(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] | None = None, threshold: float = 0.5, host: str = "source", path: str = "lang", max_labelled: int = 20_000) -> DataFrame:
+    of_path = _strength(both.withColumn("host_rate", (F.col("hk") + of_host * rate) / (F.col("hn") + of_host)), "n", "k", F.col("host_rate"))
+    if both.count() <= BROADCAST_SITES:
+        both = F.broadcast(both)
+    # The rates of the others: a document's own evidence leaves the sums of its path and host.
+    e = F.col("evidence")
+    host_rate = (F.col("hk") - e + of_host * rate) / (F.col("hn") - 1 + of_host)
+    out = scored.join(both, ["_host", "_path"]).withColumn("site_rate", (F.col("k") - e + of_path * host_rate) / (F.col("n") - 1 + of_path))
+    odds = _logit(e) + _logit(F.col("site_rate")) - _logit(F.lit(rate))
+    return out.withColumn("quality", 1 / (1 + F.exp(-odds))).drop("_host", "_path", "n", "k", "hn", "hk")
+
+
+def classify(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] | None = None, threshold: float = 0.5, host: str = "source", path: str = "lang", max_labelled: int = 20_000, text: str = "text") -> DataFrame:
     """Columns ``keep`` of ``docs`` (all if None) with evidence, site_rate, quality and kept (quality >= threshold).
 
-    One row for each row. Blank texts are judged by their features, all 0. No labels: all rows are kept. Columns of
-    ``docs`` named like an added one are replaced.
+    ``host`` and ``path`` are any two columns of which the second parts the first; ``documents`` has no addresses, so its
+    source stands for the host and its language for the path. One row for each row. Blank texts are judged by their
+    features, all 0. No labels: all rows are kept. Columns of ``docs`` named like an added one are replaced.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    keep = tuple(docs.columns) if keep is None else keep
-    keep = tuple(c for c in keep if c not in ("evidence", "site_rate", "quality", "kept"))
-    model = fit(*labelled_features(docs, labels, max_labelled))
-    needed = [*dict.fromkeys((*keep, host, path, "text"))]
+    aside = Aside(tuple(docs.columns) if keep is None else keep)
+    model = fit(*labelled_features(docs, labels, max_labelled, text))
     # Sites and evidence only, and what is kept: texts are written again only if they are among it.
-    scored = with_evidence(docs.select(*needed), model).select(*dict.fromkeys((*keep, host, path)), "evidence")
-    out = posterior(scratch.save(scored), scratch, host, path)
-    return out.select(*keep, "evidence", "site_rate", "quality", (F.col("quality") >= threshold).alias("kept"))
+    rows = docs.select(*aside.columns, F.col(host).alias("_host"), F.col(path).alias("_path"), F.col(text).alias("_text"))
+    scored = scratch.save(with_evidence(rows, model, "_text", (*aside.names, "_host", "_path")))
+    return aside.back(posterior(scored, scratch).withColumn("kept", F.col("quality") >= threshold), "evidence", "site_rate", "quality", "kept")
