@@ -1,73 +1,36 @@
-"""Shared helpers: lineage cuts in the shared folder, text expressions, connected components."""
+"""Shared helpers: columns set aside, texts in blocks, text expressions, connected components."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import Scratch as Scratch
+
 #: ASCII white space, the only separators of words in this package.
 SPACE = " \t\n\x0b\f\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
+class Aside:
+    """Columns that go through an operator untouched, under names that it does not use.
 
-    Where it names none, a local master gets a folder of its own on its one machine; on a cluster that is an error.
+    ``columns`` select them, ``names`` are what they are called inside, and ``back`` gives a result with them under their
+    own names, before the columns ``results``. A column named like a result, in any case, is replaced by the result.
     """
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if place:
-        return place
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return own_dir()
-
-
-@cache
-def own_dir() -> str:
-    """A temporary folder of this process, for sessions that run in it alone."""
-    return "file://" + tempfile.mkdtemp(prefix="lodestar-")
 
+    def __init__(self, keep: tuple[str, ...]):
+        self.own = tuple(dict.fromkeys(keep))
+        self.names = [f"_keep{i}" for i in range(len(self.own))]
+        self.columns = [F.col(f"`{c}`").alias(n) for c, n in zip(self.own, self.names, strict=True)]
 
-class Scratch:
-    """Tables written to the shared folder, so that lineage ends there and lost executors lose nothing.
-
-    ``save`` writes and rereads a table; ``drop`` deletes tables that no later step reads and lets Spark's
-    cleaner remove shuffle files whose plans are out of reach.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def save(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
-        path = f"{self.root}/{self.n}"
-        self.n += 1
-        df.write.option("compression", compression).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.scratch_path = path
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for frame in frames:
-            path = jvm.org.apache.hadoop.fs.Path(frame.scratch_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-    def sweep(self) -> None:
-        """Free shuffle files of finished steps now; otherwise they stay until the driver happens to collect garbage."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+    def back(self, out: DataFrame, *results: str) -> DataFrame:
+        made = {c.lower() for c in results}
+        return out.select(*[F.col(n).alias(c) for c, n in zip(self.own, self.names, strict=True) if c.lower() not in made], *results)
 
 
 def text_blocks(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, pa.Array]]:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, words_of
+from .common import SPACE, Aside, words_of
 
 #: Symbols that the statistic counts.
 SYMBOLS = "#*$%&|<>"
@@ -29,10 +29,11 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     another; a long text is one array of words. Each array is a column of its own projection: a lambda that read an
     inlined expression would rebuild the array for every element.
     """
-    keep = [c for c in docs.columns if c not in _OUT and not c.startswith("_q_")]
+    aside = Aside(tuple(docs.columns))
+    keep = aside.names
     t = F.coalesce(F.col(text), F.lit(""))
     count_of = lambda chars: (F.length("_q_t") - F.length(F.translate("_q_t", chars, ""))).cast("long")
-    out = docs.select(*keep, t.alias("_q_t")).withColumn("_q_w", words_of(F.col("_q_t")))
+    out = docs.select(*aside.columns, t.alias("_q_t")).withColumn("_q_w", words_of(F.col("_q_t")))
     lines = F.filter(F.split("_q_t", "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
     out = out.select(*keep, "_q_t", F.transform("_q_w", lambda x: F.xxhash64(x)).alias("_q_h"), lines.alias("_q_l"))
     n = F.size("_q_h")
@@ -55,16 +56,18 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     gaps = F.transform("_q_p", lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get("_q_p", k + 1), x + WINDOW) - x))
     out = out.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)).drop("_q_p")
     rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0)).cast("double")
-    return out.select(
+    out = out.select(
         *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
         rate("word_chars", "n_words").alias("mean_word"), rate("n_symbols", "word_chars").alias("symbol_rate"),
         rate("n_dup_lines", "n_lines").alias("dup_line_rate"), rate("n_repeat_words", "n_words").alias("repeat_rate"),
         rate("_q_distinct", "n_words").alias("distinct_rate"), rate("_q_digits", "word_chars").alias("digit_rate"),
         rate("_q_upper", "word_chars").alias("upper_rate"), rate("n_words", "n_lines").alias("words_per_line"),
     )
+    return aside.back(out, *_OUT)
 
 
-_OUT = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *STATISTICS}
+#: What text_statistics adds, in this order.
+_OUT = tuple(dict.fromkeys(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", *STATISTICS)))
 
 
 def base_failed() -> Column:

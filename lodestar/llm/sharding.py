@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Aside, Scratch
 
 FIRST_BITS, STEP_BITS = 16, 8
 #: Rows of a shard are numbered in so many buckets side by side.
@@ -134,7 +134,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, text: str = "text", keep:
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "sharding")
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(*keep, (F.octet_length(t) + 8).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.xxhash64(t).alias("_s_key"), F.lit("bytes").alias("law"))
+    aside = Aside(keep)
+    rows = docs.select(*aside.columns, (F.octet_length(t) + 8).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.xxhash64(t).alias("_s_key"), F.lit("bytes").alias("law"))
     # Copies are summed before the shuffle; a group of a third of all rows is one row of each task.
     groups = scratch.save(rows.groupBy(F.col("_s_key").alias("key")).agg(F.sum("size").alias("size")))
     cuts, _ = minimax_cuts(groups, shards)
@@ -142,19 +143,13 @@ def shard_documents(docs: DataFrame, shards: int = 24, text: str = "text", keep:
     shard = F.lit(0)
     for c in cuts:
         shard = shard + F.when(F.col("_s_key") >= F.lit(c), 1).otherwise(0)
-    bucket = F.pmod(F.xxhash64(*keep, F.lit(3)), F.lit(SLOT_BUCKETS)).cast("int")
-    rows = rows.select(*keep, "size", "text_crc32", "law", shard.cast("int").alias("shard"), bucket.alias("_s_bucket"))
+    bucket = F.pmod(F.xxhash64(*aside.names, "_s_key", F.lit(3)), F.lit(SLOT_BUCKETS)).cast("int")
+    rows = rows.select(*aside.names, "size", "text_crc32", "law", shard.cast("int").alias("shard"), bucket.alias("_s_bucket"))
     # One count for each (shard, bucket): at most shards * SLOT_BUCKETS rows, whatever the input.
     counts = rows.groupBy("shard", "_s_bucket").count().groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("_s_bucket", "count"))).alias("c"))
     before = F.transform("c", lambda x, i: F.struct(x["_s_bucket"].alias("_s_bucket"), F.aggregate(F.slice("c", 1, i), F.lit(0).cast("long"), lambda a, y: a + y["count"]).alias("_s_before")))
     base = counts.select("shard", F.inline(before))
-    return _numbered(rows, base, keep)
-
-
-def _numbered(rows: DataFrame, base: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("shard", "_s_bucket").orderBy(*keep)
-    numbered = rows.withColumn("_s_n", F.row_number().over(w))
-    out = numbered.join(F.broadcast(base), ["shard", "_s_bucket"])
-    return out.select(*keep, "size", "text_crc32", "law", "shard", (F.col("_s_before") + F.col("_s_n") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    w = Window.partitionBy("shard", "_s_bucket").orderBy(*aside.names)
+    out = rows.withColumn("_s_n", F.row_number().over(w)).join(F.broadcast(base), ["shard", "_s_bucket"])
+    out = out.withColumn("slot", (F.col("_s_before") + F.col("_s_n") - 1).cast("long")).withColumn("grown_shard", F.lit(None).cast("int"))
+    return aside.back(out, "size", "text_crc32", "law", "shard", "slot", "grown_shard")

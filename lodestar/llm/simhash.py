@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import Scratch, components
+from .common import Aside, Scratch, components
 
 BITS, BYTES, MAX_BITS = 64, 8, 2
 #: Bytes that two linked fingerprints share at least.
@@ -56,16 +56,17 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
 
 def with_fingerprint(docs: DataFrame, text: str = "text", words: int = WORDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``fp`` (the fingerprint's bits as a signed long). One row for each row."""
-    schema = docs.select(*keep).schema.add("fp", "long")
-
     ship(docs.sparkSession)
+    aside = Aside(keep)
+    rows = docs.select(*aside.columns, F.col(text).alias("_text"))
+    schema = rows.drop("_text").schema.add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), words) for t in b.column(len(keep))], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(fp)], names=[*keep, "fp"])
+            fp = np.array([fingerprint(t.as_py(), words) for t in b.column(b.num_columns - 1)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=schema.names)
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return aside.back(rows.mapInArrow(run, schema), "fp")
 
 
 def _byte(c: str, i: int) -> Column:
@@ -113,38 +114,37 @@ def near_pairs(prints: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS, ma
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", words: int = WORDS, max_bits: int = MAX_BITS, max_posting: int = 512, keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id") -> DataFrame:
-    """``keep`` columns, fp, fingerprint (16 hex digits), component_id (smallest id reachable) and group_size.
+    """``keep`` columns, fp, fingerprint (16 hex digits), component_id (smallest id reachable), group_size, root (names the component).
 
     Copies share a fingerprint and are one vertex. Rows with a null id belong to their component and name none, so
     component_id is null only where no member has an id. Repeated rows stay. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
-    keep = tuple(dict.fromkeys((*keep, id_col)))
-    rows = scratch.save(with_fingerprint(docs, text, words, keep))
-    prints = scratch.save(rows.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("n")))
+    scratch = Scratch(docs.sparkSession, "simhash")
+    aside = Aside((*keep, id_col))
+    rows = docs.select(*aside.columns, F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    rows = scratch.save(with_fingerprint(rows, "_text", words, (*aside.names, "_id")))
+    prints = scratch.save(rows.groupBy("fp").agg(F.min("_id").alias("first"), F.count("*").alias("n")))
     roots = components(near_pairs(prints.select("fp"), scratch, max_bits, max_posting), scratch)
     member = prints.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     member = scratch.save(member)
     total = member.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("group_size"))
-    known = scratch.save(member.select("fp", "root").join(total, "root").select("fp", "component_id", "group_size"))
+    known = scratch.save(member.select("fp", "root").join(total, "root").select("fp", "root", "component_id", "group_size"))
     scratch.sweep()
-    out = rows.join(known, "fp")
-    return out.select(*keep, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")
+    out = rows.join(known, "fp").withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
+    return aside.back(out, "fp", "fingerprint", "component_id", "group_size", "root")
 
 
 def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", find: Callable[..., DataFrame] = near_duplicates, **kw) -> DataFrame:
-    """``docs`` without the near-duplicates that ``find`` joins: of each component the row with its smallest id stays.
+    """``docs`` without the near-duplicates that ``find`` joins: one row of each component stays, that with the smallest id.
 
-    Of repeated rows with that id the first by text stays. Rows with a null id name no component and all stay.
-    Columns are those of ``docs``.
+    Rows with null ids come after all others. Of several texts with that id the one with the smallest hash stays, and of
+    rows equal in id and text any one; unlike texts under one id are rows of their own components. Columns are those of
+    ``docs``.
     """
-    found = find(docs, text, keep=(id_col,), id_col=id_col, **kw)
-    best = found.where(f"{id_col} = component_id").select(F.col(id_col).alias("_keep_id")).distinct()
-    kept = docs.join(best, F.col(id_col) == F.col("_keep_id"), "left_semi")
-    from pyspark.sql import Window
-
-    # An id that stays is met once, but for repeated ids.
-    w = Window.partitionBy(id_col).orderBy(text)
-    kept = kept.withColumn("_keep_n", F.row_number().over(w)).where("_keep_n = 1").drop("_keep_n")
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    aside = Aside(tuple(docs.columns))
+    rows = docs.select(*aside.columns, F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    rows = rows.withColumn("_t", F.xxhash64(F.coalesce("_text", F.lit("")))).withColumn("_i", F.xxhash64("_id", "_t"))
+    found = find(rows.select("_id", "_t", "_i", "_text"), "_text", keep=("_id", "_t", "_i"), id_col="_id", **kw)
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_t", "_i")).alias("b"))
+    kept = rows.drop("_id", "_text").join(best.select("b._t", "b._i"), ["_t", "_i"], "left_semi")
+    return aside.back(kept.dropDuplicates(["_t", "_i"]))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import Scratch, text_blocks
+from .common import Aside, Scratch, text_blocks
 from .gsaca import suffix_array
 
 LENGTH, GRAM = 200, 96
@@ -320,15 +320,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "repeats")
+    aside = Aside(keep)
     # The written rows carry a number that no later step can change.
-    rows = scratch.save(docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_rid", F.monotonically_increasing_id()))
+    rows = scratch.save(docs.select(*aside.columns, F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_rid", F.monotonically_increasing_id()))
     spans = repeats(rows.select(F.col("_rid").alias("rid"), F.col("_text").alias("text")), scratch)
     spans = scratch.save(spans.groupBy(F.col("rid").alias("_rid")).agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("_spans")))
     scratch.sweep()
-    schema = docs.select(*keep).schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
-    if with_text:
-        schema = schema.add("_kept", "string")
-    k = len(keep)
+    results = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["_kept"] * with_text]
+    schema = rows.select(*aside.names).schema
+    for c in results:
+        schema = schema.add(c, "long" if c.startswith("n_") else "string")
+    k = len(aside.names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in ((b.slice(at, len(t)), t) for b in batches for at, t in text_blocks(b.column(k))):
@@ -354,4 +356,5 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
             kinds = [pa.int64()] * 3 + [pa.string()] * (1 + with_text)
             yield pa.RecordBatch.from_arrays([*b.columns[:k], *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=schema.names)
 
-    return rows.join(spans, "_rid", "left").select(*keep, "_text", "_spans").mapInArrow(cut, schema)
+    out = rows.join(spans, "_rid", "left").select(*aside.names, "_text", "_spans").mapInArrow(cut, schema)
+    return aside.back(out, *results)
