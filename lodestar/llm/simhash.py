@@ -101,15 +101,17 @@ def near_pairs(prints: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS, ma
     large = sizes.where(F.col("count") > max_posting).select("table", "key")
     if large.isEmpty():
         return links
+    if not max_bits:
+        return links  # distinct fingerprints differ
     hot = posted.join(large, ["table", "key"])
-    masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(BITS)]) if max_bits == 2 else F.array(F.lit(0).cast("long"))
+    masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(BITS)])
     spread = hot.select("table", "key", "fp", F.explode(masks).alias("m")).withColumn("star", F.col("fp").bitwiseXOR(F.col("m")))
     # Changes of the posting's own four bytes would leave it.
     inside = F.coalesce(*[F.when(F.col("table") == n, _posting("star", a, b) == F.col("key")) for n, (a, b) in enumerate(COUPLES)])
     stars = spread.where(inside).groupBy("table", "key", "star").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    more = stars.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a < b")
-    if max_bits < 2:
-        more = more.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
+    # Two members differ in two bits at most; one bit is the distance to the star itself, where it is a fingerprint.
+    middle = F.array_min("fps") if max_bits == 2 else F.when(F.array_contains("fps", F.col("star")), F.col("star"))
+    more = stars.select(middle.alias("a"), F.explode("fps").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return links.unionByName(more)
 
 
