@@ -70,6 +70,8 @@ class Plan:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by their largest component first, so that no square is lost."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -117,9 +119,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embe
     ship(spark)
     scratch = Scratch(spark, "vectors")
     v = F.col(vector).cast("array<double>")
-    # One pass inside the row; a null or non-finite component makes the sum null or non-finite.
-    norm = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
-    valid = F.coalesce(F.col(label).isNotNull() & (norm > 0) & (norm < float("inf")) & ~F.isnan(norm), F.lit(False))
+    # One pass inside the row: the largest component. A null one makes it null; NaN is larger than infinity.
+    top = F.aggregate(v, F.lit(0.0), lambda a, x: F.when(a.isNull() | x.isNull(), F.lit(None)).otherwise(F.greatest(a, F.abs(x))))
+    valid = F.coalesce(F.col(label).isNotNull() & (top > 0) & (top < float("inf")), F.lit(False))
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(vector).alias("x"), valid.alias("valid"))
     good = rows.where("valid").groupBy("label", "x").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     good = scratch.save(good.withColumn("v", F.monotonically_increasing_id()))
