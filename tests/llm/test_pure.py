@@ -173,22 +173,59 @@ def test_viterbi_against_all_segmentations():
 
 def test_chains_are_optimal():
     rng = random.Random(4)
-    for _ in range(200):
-        n = rng.randint(1, 9)
-        pts = list({(rng.randint(0, 40), rng.randint(0, 40)) for _ in range(n)})
-        a, b = [p[0] for p in pts], [p[1] for p in pts]
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.randint(1, 9)):
+            a, b, n, m = rng.randint(0, 40), rng.randint(0, 40), rng.randint(1, 9), rng.randint(1, 9)
+            parts.append((a, a + n, b, b + m, float(n)))
         best = {}
-        for i in sorted(range(len(pts)), key=lambda i: a[i]):
-            best[i] = 5 + max([0.0] + [best[j] - 0.05 * (a[i] - a[j] + b[i] - b[j]) for j in best if a[j] < a[i] and b[j] < b[i]])
-        got = chaining.chains(a, b)
-        assert sorted(i for c in got for i in c) == list(range(len(pts)))
+        for i in sorted(range(len(parts)), key=lambda i: parts[i][0]):
+            a0, _, b0, _, v = parts[i]
+            best[i] = v + max([0.0] + [best[j] - 0.05 * (a0 - parts[j][1] + b0 - parts[j][3]) for j in best if parts[j][1] <= a0 and parts[j][3] <= b0])
+        got = chaining.chains(parts)
+        assert sorted(i for c in got for i in c) == list(range(len(parts)))
         for c in got:
-            assert all(a[x] < a[y] and b[x] < b[y] for x, y in zip(c, c[1:], strict=False))
-        c = got[0]
-        value = 5 * len(c) - 0.05 * (a[c[-1]] - a[c[0]] + b[c[-1]] - b[c[0]])
+            assert all(parts[x][1] <= parts[y][0] and parts[x][3] <= parts[y][2] for x, y in zip(c, c[1:], strict=False))
+        c = [parts[i] for i in got[0]]
+        value = sum(p[4] for p in c) - 0.05 * sum(y[0] - x[1] + y[2] - x[3] for x, y in zip(c, c[1:], strict=False))
         assert value == pytest.approx(max(best.values()))
 
 
+def test_stretches_unite_matches_along_diagonals():
+    rng = random.Random(5)
+    for _ in range(100):
+        m = [(rng.randint(0, 2), a := rng.randint(0, 90), a + rng.randint(-2, 2), rng.choice((4, 12))) for _ in range(rng.randint(1, 40))]
+        lines = {}
+        for g, a, b, k in sorted(m):
+            line = lines.setdefault((g, b - a), [])
+            if line and a <= line[-1][1] + chaining.JOIN:
+                line[-1][2] |= set(range(a, a + k))
+                line[-1][1] = max(line[-1][1], a + k)
+            else:
+                line.append([a, a + k, set(range(a, a + k))])
+        want = sorted((g, a, e, a + d, e + d, len(s)) for (g, d), x in lines.items() for a, e, s in x)
+        got = chaining.stretches(*(np.array(c, np.int64) for c in zip(*m, strict=True)))
+        assert sorted(zip(*(c.tolist() for c in got), strict=True)) == want
+
+
+def test_words_and_seeds():
+    import pyarrow as pa
+    import xxhash
+
+    texts = ["", "  ", "A b\x0bC\td ", "\u00a0x \u2003 y\x1cz", "Äb aB", " ".join("w%d" % i for i in range(30))]
+    hashes, cut = chaining.word_hashes(pa.array(texts))
+    for t, i, j in zip(texts, cut, cut[1:], strict=False):
+        assert hashes[i:j].tolist() == [xxhash.xxh32_intdigest(w) for w in t.encode().lower().split()]
+    rng = np.random.default_rng(1)
+    words, cut = rng.integers(0, 1 << 32, 3000, np.uint32), np.array([0, 3, 3, 900, 3000])
+    at, h, k = chaining.seeds(np.concatenate([words, words]), np.concatenate([cut, 3000 + cut[1:]]))
+    ends = np.concatenate([cut[1:], 3000 + cut[1:]])
+    assert all(a + n <= ends[np.searchsorted(ends, a, "right")] for a, n in zip(at, k, strict=True))
+    assert sorted(zip(at[at < 3000], h[at < 3000], strict=True)) == sorted(zip(at[at >= 3000] - 3000, h[at >= 3000], strict=True))
+    assert 800 < (k == 4).sum() / 2 < 1200 and 120 < (k == 12).sum() / 2 < 260
+    assert len(chaining.seeds(words[:0], np.zeros(1, np.int64))[0]) == 0
+
+
 def test_alignment_counts_words_equal_in_order():
     rng = random.Random(6)
 

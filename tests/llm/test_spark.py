@@ -100,6 +100,30 @@ def test_simhash_large_posting_loses_no_link(spark):
         assert len({roots[s] for s in near}) == 1
 
 
+@pytest.mark.parametrize("bits", [0, 1, 2])
+def test_simhash_links_of_every_bound(spark, bits):
+    """Any posting limit joins what all pairs join."""
+    rng = random.Random(6)
+    center = rng.getrandbits(64)
+    fps = {center} | {center ^ (1 << i) for i in range(0, 60, 7)} | {center ^ (3 << i) for i in range(5, 60, 6)} | {rng.getrandbits(64) for _ in range(50)}
+    fps |= {f ^ (1 << rng.randrange(64)) for f in rng.sample(sorted(fps), 20)}
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    near = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count() <= bits
+    first = {f: f for f in signed}
+    for _ in range(len(signed)):
+        after = {f: min(first[g] for g in signed if f == g or near(f, g)) for f in signed}
+        if after == first:
+            break
+        first = after
+    groups = lambda of: {frozenset(f for f in signed if of(f) == of(g)) for g in signed}
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    for limit in (2, 512):
+        pairs = simhash.near_pairs(df, Scratch(spark, "t"), bits, limit).collect()
+        assert all(near(p.a, p.b) for p in pairs)
+        roots = {r.v: r.root for r in components(spark.createDataFrame([tuple(p) for p in pairs], "a long, b long"), Scratch(spark, "t")).collect()} if pairs else {}
+        assert groups(lambda f, roots=roots: roots.get(f, f)) == groups(first.get)
+
+
 def test_simhash_keeps_one(spark, texts):
     df = make(spark, texts)
     kept = simhash.keep_one(df)
@@ -222,6 +246,50 @@ def test_chaining_settles_each_passage_of_a_chain(spark):
         assert len(found) == 2 and all(abs(a - c) <= 3 and abs(b - d) <= 3 for (a, b), (c, d) in zip(found, spans, strict=True))
 
 
+def test_chaining_inside_a_document_and_through_common_phrases(spark):
+    rng = random.Random(13)
+    passage = prose(rng, 60).split()
+    twice = " ".join([*prose(rng, 20).split(), *passage, *prose(rng, 30).split(), *passage, *prose(rng, 10).split()])
+    shared = prose(rng, 60).split()
+    docs = [twice]
+    # Every five words of what two later documents share stand somewhere in earlier ones.
+    docs += [" ".join([*prose(rng, 30).split(), *shared[i : i + 5], *prose(rng, 30).split()]) for i in range(0, 56, 2) for _ in range(2)]
+    docs += [" ".join([*prose(rng, 25).split(), *shared, *prose(rng, 25).split()]) for _ in range(2)]
+    docs += ["again " * 500]
+    rows = chaining.passages(make(spark, docs).coalesce(1)).collect()
+    inside = [r for r in rows if r.doc_id == 0 and (r.start_word, r.end_word) != (r.owner_start, r.owner_end)]
+    assert [(r.owner_id, r.start_word, r.end_word, r.owner_start, r.owner_end) for r in inside] == [(0, 110, 170, 20, 80)]
+    pair = {len(docs) - 3, len(docs) - 2}
+    assert any({r.doc_id, r.owner_id} == pair and r.end_word - r.start_word >= 58 for r in rows)
+    assert {r.doc_id for r in rows} == {0, *pair}
+
+
+@pytest.mark.parametrize("words", [60, 100])
+def test_chaining_recall_by_similarity(spark, words):
+    """Passages inside unrelated text, with regular and random changes: nine in ten of those of similarity 0.8 are found."""
+    rng = random.Random(words)
+    docs, kinds = [], {}
+    for kind in (5, 6, 8, 10, 15, 0.1, 0.15, 0.18, "indel"):
+        for _ in range(40):
+            x = prose(rng, words).split()
+            if kind == "indel":
+                at = set(rng.sample(range(words), words // 10))
+                y = [w for i, v in enumerate(x) for w in ([v] if i not in at else [] if i % 2 else [v, "new"])]
+            elif isinstance(kind, int):
+                y = ["changed%d" % rng.randrange(999) if i % kind == kind - 1 else v for i, v in enumerate(x)]
+            else:
+                at = set(rng.sample(range(words), round(kind * words)))
+                y = ["changed%d" % rng.randrange(999) if i in at else v for i, v in enumerate(x)]
+            kinds[len(docs)] = kind
+            docs += [" ".join([*prose(rng, 70).split(), *v, *prose(rng, 70).split()]) for v in (x, y)]
+    rows = chaining.passages(make(spark, docs)).collect()
+    found = {min(r.doc_id, r.owner_id) for r in rows if abs(r.doc_id - r.owner_id) == 1 and min(r.doc_id, r.owner_id) in kinds}
+    recall = {k: sum(i in found for i, v in kinds.items() if v == k) / 40 for k in set(kinds.values())}
+    print(words, sorted(recall.items(), key=str))
+    assert min(recall.values()) >= 0.9
+    assert all(r.doc_id == r.owner_id or abs(r.doc_id - r.owner_id) == 1 for r in rows)
+
+
 def test_vectors_against_all_pairs(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(260, 16))
@@ -234,7 +302,7 @@ def test_vectors_against_all_pairs(spark):
     x[150:190] = x[150] + rng.normal(size=(40, 16)) * 0.03
     x[190:195] = x[150]
     rows = [(i, [float(np.float32(a)) for a in v], int(i % 2) if i < 240 else None) for i, v in enumerate(x)]
-    rows += [(1000, None, 0), (1001, [0.0] * 16, 0), (1002, [float("nan")] + [1.0] * 15, 0), (1003, [None] + [1.0] * 15, 0), (1004, [float("inf")] * 16, 1), (1005, [1.0, 2.0], 0), (1006, [2.0, 4.0], 0), (None, rows[150][1], 0), (3, rows[3][1], 1)]
+    rows += [(1000, None, 0), (1001, [0.0] * 16, 0), (1002, [float("nan")] + [1.0] * 15, 0), (1003, [None] + [1.0] * 15, 0), (1004, [float("inf")] * 16, 1), (1005, [1.0, 2.0], 0), (1006, [2.0, 4.0], 0), (1007, [1e-30, 1e-30], 0), (1008, [3e38, 3e38], 0), (1009, [3e38, 3e38], 0), (None, rows[150][1], 0), (3, rows[3][1], 1)]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, label int, v long, x int").repartition(3)
     old, vectors.MAX_CELL = vectors.MAX_CELL, 16
     try:
@@ -267,6 +335,13 @@ def test_vectors_against_all_pairs(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_whose_squares_are_no_doubles(spark):
+    rows = [(1, [1e-170, 1e-170]), (2, [1e-170, 1e-170]), (3, [3e-170, 3e-170]), (4, [1e200, 1.0]), (5, [1e200, 2.0]), (6, [5e-324, 0.0])]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (2, 4), 5: (2, 4), 6: (2, 4)}
+
+
 def _least_capacity(sizes, shards):
     lo, hi = max(sizes), sum(sizes)
     while lo < hi:
