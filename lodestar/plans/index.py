@@ -112,7 +112,9 @@ class ShardedIndex:
         return out.with_graphs() if graphs else out
 
     def with_graphs(self) -> ShardedIndex:
-        return replace(self, graphs=build_graphs(self.members, self.options.hnsw_m, self.options.ef_construction, self.options.metric))
+        """The index with its graphs, built once and written by shard."""
+        built = build_graphs(self.members, self.options.hnsw_m, self.options.ef_construction, self.options.metric)
+        return replace(self, graphs=Scratch(self.members.sparkSession, "graphs").save(built, by=("shard_id",)))
 
     def route(self, queries: DataFrame, nprobe: int = 1) -> DataFrame:
         return routing.route(queries, self.router_shard, self.router_centroids, nprobe, self.options.metric)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import suppress
 from functools import cache
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -58,6 +60,11 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def sweep(self) -> None:
-        """Free shuffle files of finished steps now; otherwise they stay until the driver happens to collect garbage."""
+        """Free shuffle files of finished steps now; otherwise they stay until the driver happens to collect garbage.
+
+        Events that still wait for listeners hold the plans of finished steps, so they go first.
+        """
         gc.collect()
+        with suppress(Py4JJavaError):  # a busy queue only leaves the files for the next time
+            self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(5_000)
         self.spark.sparkContext._jvm.System.gc()

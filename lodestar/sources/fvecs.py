@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import os
+import posixpath
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from ..operators.scan import matrix
 from ..shipping import ship
 
 SCHEMA = "vec_id long, embedding array<float>"
@@ -41,9 +43,18 @@ class Range(InputPartition):
     dim: int
 
 
-def _files(path: str) -> list[str]:
-    p = path.removeprefix("file://")
-    return sorted(str(f) for f in Path(p).glob("*.fvecs")) if os.path.isdir(p) else [p]
+def _place(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or address, local or distributed, and the path there."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path.removeprefix("file:")))
+
+
+def _files(path: str) -> list[fs.FileInfo]:
+    """The file, or the fvecs files of the folder in the order of their names."""
+    store, p = _place(path)
+    info = store.get_file_info(p)
+    if info.type != fs.FileType.Directory:
+        return [info]
+    return sorted((f for f in store.get_file_info(fs.FileSelector(p)) if f.base_name.endswith(".fvecs") and not f.base_name.startswith(".") and f.is_file), key=lambda f: f.base_name)
 
 
 class FvecsReader(DataSourceReader):
@@ -52,11 +63,14 @@ class FvecsReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         out, first = [], 0
-        for f in _files(self.path):
-            size = os.path.getsize(f)
+        store, _ = _place(self.path)
+        for info in _files(self.path):
+            f, size = info.path, info.size
+            if info.type == fs.FileType.NotFound:
+                raise FileNotFoundError(f)
             if not size:
                 continue
-            with open(f, "rb") as fh:
+            with store.open_input_file(f) as fh:
                 dim = struct.unpack("<i", fh.read(4))[0]
             record = 4 * (dim + 1)
             if dim < 1 or size % record:
@@ -69,7 +83,8 @@ class FvecsReader(DataSourceReader):
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         if part is None:
             return
-        with open(part.path, "rb") as fh:
+        store, _ = _place(self.path)
+        with store.open_input_file(part.path) as fh:
             fh.seek(part.start * 4 * (part.dim + 1))
             for at in range(0, part.count, 8192):
                 n = min(8192, part.count - at)
@@ -85,39 +100,44 @@ class Written(WriterCommitMessage):
     rows: int
 
 
-class FvecsWriter(DataSourceWriter):
-    """One file for each task, in the order of its rows; unfinished files are hidden until the job commits."""
+class FvecsWriter(DataSourceArrowWriter):
+    """One file for each task, in the order of its rows; unfinished files are hidden, and old ones stay, until the job commits."""
 
     def __init__(self, options: dict, overwrite: bool):
-        self.path, self.name = options["path"].removeprefix("file://"), options.get("name", "part")
-        if overwrite and os.path.isdir(self.path):
-            for f in Path(self.path).glob("*.fvecs"):
-                f.unlink()
+        self.path, self.name, self.overwrite = options["path"], options.get("name", "part"), overwrite
 
-    def write(self, rows) -> Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
-        os.makedirs(self.path, exist_ok=True)
+        store, top = _place(self.path)
+        store.create_dir(top, recursive=True)
         ctx = TaskContext.get()
-        path, n = f"{self.path}/.{self.name}-{ctx.partitionId():05d}-{ctx.taskAttemptId()}", 0
-        with open(path, "wb") as fh:
-            for r in rows:
-                fh.write(encode(np.array([r.embedding], "<f4")))
-                n += 1
+        path, n = posixpath.join(top, f".{self.name}-{ctx.partitionId():05d}-{ctx.taskAttemptId()}"), 0
+        with store.open_output_stream(path) as out:
+            for b in batches:
+                if b.num_rows:
+                    lists = b.column(b.schema.get_field_index("embedding"))
+                    out.write(encode(matrix(lists, len(lists[0]))))
+                    n += b.num_rows
         return Written(path, n)
 
     def commit(self, messages) -> None:
+        store, top = _place(self.path)
+        if self.overwrite and store.get_file_info(top).type == fs.FileType.Directory:
+            for f in _files(self.path):
+                store.delete_file(f.path)
         for m in messages:
             if m and m.rows:
-                name = os.path.basename(m.path)[1:].rsplit("-", 1)[0]
-                os.replace(m.path, f"{os.path.dirname(m.path)}/{name}.fvecs")
+                name = posixpath.basename(m.path)[1:].rsplit("-", 1)[0]
+                store.move(m.path, posixpath.join(top, f"{name}.fvecs"))
             elif m:
-                os.unlink(m.path)
+                store.delete_file(m.path)
 
     def abort(self, messages) -> None:
+        store, _ = _place(self.path)
         for m in messages:
-            if m and os.path.exists(m.path):
-                os.unlink(m.path)
+            if m and store.get_file_info(m.path).is_file:
+                store.delete_file(m.path)
 
 
 class FvecsSource(DataSource):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import vectors as V
 from lodestar.operators import clustering, evaluation, merging, routing
-from lodestar.operators.hnsw import Graph
+from lodestar.operators.hnsw import Graph, build_graphs, hnsw_search, nearest_segments
 from lodestar.operators.numbering import row_numbers
 from lodestar.operators.scan import exact_knn, merge_topk, pad_topk, routed_scan
 from lodestar.plans.index import Options, ShardedIndex, evaluate
@@ -242,6 +242,23 @@ def test_hnsw(data):
     assert index.graphs.where("level = 0").agg(F.max(F.size("neighbors"))).first()[0] <= 16
 
 
+def test_hnsw_visits_the_nearest_segments(spark):
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(12, 8))[rng.integers(0, 12, 1200)] * 6 + rng.normal(size=(1200, 8))).astype(np.float32)
+    q = x[::60] + 0.1
+    base, queries = frame(spark, x), frame(spark, q, name="qid")
+    graphs = build_graphs(base.withColumn("shard_id", F.lit(0)), m=8, segment=100).cache()
+    sizes = graphs.where("level = 0").groupBy("segment").count().collect()
+    assert len(sizes) >= 12 and sum(r["count"] for r in sizes) == 1200 and max(r["count"] for r in sizes) <= 150
+    routed = queries.withColumn("shard_id", F.lit(0))
+    asked = nearest_segments(graphs, routed, visited=3)
+    assert asked.groupBy("qid").count().agg(F.max("count")).first()[0] < len(sizes) / 2
+    want = brute(x, q, 5)
+    for visited, least in ((3, 0.9), (100, 0.97)):
+        got = ids(hnsw_search(graphs, routed, 5, 64, visited=visited))
+        assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(got, want, strict=True)]) >= least
+
+
 def test_batches_and_stream_equal_one_search(spark, data, tmp_path):
     _, _, base, queries = data
     index = ShardedIndex.fit(base, num_fine_clusters=6, niter=2)
