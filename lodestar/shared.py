@@ -62,9 +62,19 @@ class Scratch:
     def sweep(self) -> None:
         """Free shuffle files of finished steps now; otherwise they stay until the driver happens to collect garbage.
 
-        Events that still wait for listeners hold the plans of finished steps, so they go first.
+        What holds the plans of finished steps goes first: frames that Python has dropped, which its gateway gives up
+        only about once a second, and the last query's end, which the threads of listeners hold until another one comes.
         """
         gc.collect()
+        context = self.spark.sparkContext
+        waiting = getattr(context._gateway._gateway_client, "finalizer_deque", None)
+        while waiting:
+            try:
+                client, target = waiting.pop()
+            except IndexError:  # the gateway's own thread was faster
+                break
+            client.garbage_collect_object(target, False)
+        self.spark.sql("SELECT 1").collect()
         with suppress(Py4JJavaError):  # a busy queue only leaves the files for the next time
-            self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(5_000)
-        self.spark.sparkContext._jvm.System.gc()
+            context._jsc.sc().listenerBus().waitUntilEmpty(5_000)
+        context._jvm.System.gc()
