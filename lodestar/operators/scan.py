@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import check_metric
+from ..shared import Scratch
 from ..shipping import ship
 
 #: Queries sent to the tasks at once; more of them go in further passes over the vectors.
@@ -71,9 +72,11 @@ def routed_scan(vectors: DataFrame, routed: DataFrame, k: int, metric: str = "l2
     ship(spark)
     total = routed.select("qid").distinct().count()
     n = max(1, -(-total // QUERY_BLOCK))
+    if n > 1:
+        routed = Scratch(spark, "routed").save(routed.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(n)).cast("int")), by=("block",))
     out = spark.createDataFrame([], CANDIDATES)
     for block in range(n):
-        rows = routed.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == block).select("qid", "shard_id", "embedding").collect()
+        rows = (routed.where(F.col("block") == block) if n > 1 else routed).select("qid", "shard_id", "embedding").collect()
         if not rows:
             continue
         place = {}

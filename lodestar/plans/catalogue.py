@@ -16,7 +16,7 @@ from ..functions import vectors as V
 from ..operators import clustering, evaluation, merging, routing
 from ..operators.scan import exact_knn, merge_topk, pad_topk, routed_scan
 from ..shared import shared_dir
-from ..sources.fvecs import read_fvecs, write_fvecs
+from ..sources.fvecs import export_shards, read_fvecs, write_fvecs
 from ..streaming.batches import batched_search, stream_search
 from .index import Options, ShardedIndex
 
@@ -344,6 +344,57 @@ def fvecs_roundtrip(spark, d):
     return same.agg(F.count("*").alias("n_same"))
 
 
+def shard_export(spark, d):
+    """Primary vectors of each shard written as its fvecs folder, read back and counted, with the sum of their components."""
+    folder, vectors = _folder(spark).removeprefix("file://"), _base(spark, d)
+    paths = export_shards(vectors.select("vec_id", "embedding"), _with_replicas(spark, d), folder, "base", 0.5)
+    out = None
+    for p in paths:
+        shard = int(p.rsplit("_", 2)[1])
+        total = F.sum(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x))
+        one = read_fvecs(spark, p).agg(F.lit(shard).alias("shard_id"), F.count("*").alias("n_vectors"), F.round(total, 4).alias("total"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+#: Calls that must be refused before any job of theirs runs.
+REFUSED = {
+    "dimension": lambda base, q: V.check_dimension(q.withColumn("embedding", F.slice("embedding", 1, 3)), expect=64),
+    "fine clusters above vectors": lambda base, q: Options(num_fine_clusters=1 << 40).check(base.count()),
+    "fine clusters below shards": lambda base, q: Options(num_fine_clusters=1).check(base.count()),
+    "k": lambda base, q: exact_knn(base, q, 0),
+    "merge": lambda base, q: Options(merge="nearest").check(1000),
+    "metric": lambda base, q: exact_knn(base, q, 1, "cosine"),
+    "no vectors": lambda base, q: Options().check(0),
+    "nprobe": lambda base, q: routing.route(q, np.arange(2), np.zeros((2, 64)), 0),
+    "partitioner": lambda base, q: Options(partitioner="grid").check(1000),
+    "router": lambda base, q: Options(router="all").check(1000),
+    "shards": lambda base, q: Options(num_shards=3).check(1000),
+}
+
+
+def validation(spark, d):
+    """Whether each wrong argument is refused."""
+    rows = []
+    for name, call in REFUSED.items():
+        try:
+            call(_base(spark, d), _queries(spark, d))
+            rows.append((name, False))
+        except ValueError:
+            rows.append((name, True))
+    return spark.createDataFrame(rows, "argument string, refused boolean")
+
+
+def index_reset(spark, d):
+    """Rows before, after a reset, and after the queries' vectors are appended to what is left."""
+    full = _fit(spark, d, nested=True, boundary_tau=1.05)
+    before = full.members.where("not is_replica").agg(F.lit("fit").alias("state"), F.count("*").alias("n_vectors")).collect()
+    empty = full.reset()
+    new = empty.append(_queries(spark, d).select(F.col("qid").alias("vec_id"), "embedding"))
+    rows = [(r.state, r.n_vectors) for r in before] + [("reset", empty.members.count()), ("append", new.members.count())]
+    return spark.createDataFrame(rows, "state string, n_vectors long")
+
+
 def stream_knn(spark, d):
     folder = _folder(spark)
     _queries(spark, d).repartition(3).write.parquet(f"{folder}/queries")
@@ -504,6 +555,9 @@ ORACLES: dict[str, str] = {
     "batched_knn": _knn(_sharded_sql(1), extra=_MEANS + _ROUTE, cols="(SELECT CAST(floor((count(*) - 1) / 2) AS BIGINT) FROM q WHERE q.qid <= p.qid) AS batch_id, qid, CAST(rank AS INT) AS rank, vec_id, round(dist, 6) AS dist"),
     "stream_knn": _knn(_sharded_sql(1), extra=_MEANS + _ROUTE),
     "incremental_add": f"{_W}{_MEANS}{_ROUTE} SELECT shard_id, count(*) AS n_vectors, count(*) AS n_rows_physical FROM (SELECT shard_id FROM b UNION ALL SELECT shard_id FROM rt WHERE r = 1) GROUP BY shard_id",
+    "shard_export": f"{_W} SELECT shard_id, count(*) AS n_vectors, round(sum(list_sum(v)), 4) AS total FROM b GROUP BY shard_id",
+    "validation": "SELECT argument, true AS refused FROM (VALUES " + ", ".join(f"('{x}')" for x in REFUSED) + ") t(argument)",
+    "index_reset": f"{_W} SELECT 'fit' AS state, count(*) AS n_vectors FROM b UNION ALL SELECT 'reset', 0 UNION ALL SELECT 'append', count(*) FROM q",
     "fvecs_roundtrip": "SELECT count(*) AS n_same FROM embeddings",
 }
 
@@ -513,6 +567,6 @@ QUERIES = {
         knn_exact_l2, knn_exact_ip, knn_ties, topk_padded, range_filter, vector_functions, query_limit, shard_means, weighted_mean, kmeans_lloyd, nearest_centroid, cluster_sizes, cluster_stats,
         farthest_pair, pca_bisection, cluster_to_shard, greedy_min, greedy_centroid, hash_partition, shard_sizes, assign_top2, boundary_vectors, boundary_replicas, local_global_ids,
         route_nprobe1, route_nprobe2, route_fine, route_all, queries_per_shard, sharded_knn_nprobe1, sharded_knn_nprobe2, sharded_knn_nested, shard_candidates, recall_at_k, batched_knn,
-        incremental_add, index_search, index_recall, index_greedy, index_kmeans, index_subcluster_router, index_sample_router, index_save_load, hnsw_knn, fvecs_roundtrip, stream_knn,
+        incremental_add, index_search, index_recall, index_greedy, index_kmeans, index_subcluster_router, index_sample_router, index_save_load, index_reset, validation, hnsw_knn, fvecs_roundtrip, shard_export, stream_knn,
     )
 }
