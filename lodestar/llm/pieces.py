@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
+from .common import Aside, text_blocks
 
 SPACE = "▁"
 #: Added to the lowest score for a character without a piece.
@@ -168,30 +169,38 @@ def model(path: str) -> PieceModel:
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ids. Null texts have null ids, empty ones none. One row for each row; whole texts."""
-    schema = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType()))
     ship(docs.sparkSession)
+    aside = Aside(keep)
+    rows = docs.select(*aside.columns, F.col(text).alias("_text"))
+    schema = rows.drop("_text").schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for b in batches:
-            ids = [None if t is None else np.frombuffer(m.encode_bytes(t), "<i4") for t in b.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "ids"])
+            null = b.column(b.num_columns - 1).is_null().to_pylist()
+            for at, texts in text_blocks(b.column(b.num_columns - 1)):
+                ids = [None if null[at + i] else np.frombuffer(m.encode_bytes(t), "<i4") for i, t in enumerate(texts.to_pylist())]
+                yield pa.RecordBatch.from_arrays([*b.slice(at, len(ids)).columns[:-1], pa.array(ids, pa.list_(pa.int32()))], names=schema.names)
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return aside.back(rows.mapInArrow(run, schema), "ids")
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and text. Null ids have a null text."""
-    schema = encoded.select(*keep).schema.add("text", "string")
     ship(encoded.sparkSession)
+    aside = Aside(keep)
+    rows = encoded.select(*aside.columns, F.col(ids).alias("_ids"))
+    schema = rows.drop("_ids").schema.add("text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for b in batches:
-            texts = [None if x is None else m.decode(x) for x in b.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(texts, pa.string())], names=[*keep, "text"])
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                texts = [m.decode(x.values.to_pylist()) if x.is_valid else None for x in part.column(b.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=schema.names)
 
-    return encoded.select(*keep, F.col(ids).alias("_ids")).mapInArrow(run, schema)
+    return aside.back(rows.mapInArrow(run, schema), "text")
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -199,19 +208,24 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", keep: tuple[str,
 
     Encodes and decodes each text in one pass; null counts as empty. Only texts with U+2581 itself are inexact.
     """
-    schema = docs.select(*keep).schema.add("n_ids", "long").add("ids_crc32", "long").add("text_crc32", "long").add("exact", "boolean")
     ship(docs.sparkSession)
+    aside = Aside(keep)
+    rows = docs.select(*aside.columns, F.col(text).alias("_text"))
+    kinds = {"n_ids": "long", "ids_crc32": "long", "text_crc32": "long", "exact": "boolean"}
+    schema = rows.drop("_text").schema
+    for c, k in kinds.items():
+        schema = schema.add(c, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for b in batches:
-            rows = []
-            for t in b.column(len(keep)).to_pylist():
-                t = t or ""
-                data = m.encode_bytes(t)
-                back = m.decode(np.frombuffer(data, "<u4").tolist())
-                rows.append((len(data) // 4, zlib.crc32(data), zlib.crc32(back.encode()), back == t))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True))], names=[*keep, "n_ids", "ids_crc32", "text_crc32", "exact"])
-
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+            for at, texts in text_blocks(b.column(b.num_columns - 1)):
+                out = []
+                for t in texts.to_pylist():
+                    data = m.encode_bytes(t)
+                    back = m.decode(np.frombuffer(data, "<u4").tolist())
+                    out.append((len(data) // 4, zlib.crc32(data), zlib.crc32(back.encode()), back == t))
+                cols = [pa.array(c, pa.bool_() if i == 3 else pa.int64()) for i, c in enumerate(zip(*out, strict=True))]
+                yield pa.RecordBatch.from_arrays([*b.slice(at, len(out)).columns[:-1], *cols], names=schema.names)
+
+    return aside.back(rows.mapInArrow(run, schema), *kinds)

@@ -525,7 +525,7 @@ def test_kept_columns_of_any_name(spark, name):
     keep = ("doc_id", name)
     for out in (
         corpus_pipeline.simhash(spark, df, ""), simhash.near_duplicates(df, keep=keep), quality_classifier.classify(df, lab), substring_exact.remove_repeats(df, keep=keep),
-        sharding.shard_documents(df, keep=keep), toxicity.score(df, toxicity.fit([], []), keep=keep), quality_rules.apply_rules(df, []),
+        sharding.shard_documents(df, keep=keep), pieces.round_trip(df, _tokenizer("piece_bpe_32k.model"), keep=keep), toxicity.score(df, toxicity.fit([], []), keep=keep), quality_rules.apply_rules(df, []),
     ):
         rows = out.collect()
         assert len(rows) == 8 and len({c.lower() for c in out.columns}) == len(out.columns)
