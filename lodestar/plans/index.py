@@ -134,11 +134,18 @@ class ShardedIndex:
         return pad_topk(out, queries, k) if padded else out
 
     def append(self, vectors: DataFrame) -> ShardedIndex:
-        """New vectors go to the shard that their own query would go to; nothing is re-centred or replicated."""
+        """New vectors go to the shard that their own query would go to; nothing is re-centred or replicated.
+
+        If the index has graphs, the new vectors get graphs of their own beside them.
+        """
         check_dimension(vectors, expect=self.dim)
         to = self.route(vectors.select(F.col("vec_id").alias("qid"), "embedding")).select(F.col("qid").alias("vec_id"), "shard_id")
         new = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").join(to, "vec_id").select("vec_id", "shard_id", F.lit(False).alias("is_replica"), "embedding")
-        return replace(self, members=self.members.unionByName(new), graphs=None)
+        graphs = self.graphs
+        if graphs is not None:
+            added = build_graphs(new, self.options.hnsw_m, self.options.ef_construction, self.options.metric, beside=graphs)
+            graphs = graphs.unionByName(Scratch(vectors.sparkSession, "graphs").save(added, by=("shard_id",)))
+        return replace(self, members=self.members.unionByName(new), graphs=graphs)
 
     def counts(self) -> DataFrame:
         """Primary and stored rows of each shard."""

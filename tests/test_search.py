@@ -240,6 +240,10 @@ def test_hnsw(data):
     index = ShardedIndex.fit(base, num_fine_clusters=6, niter=2, hnsw_m=8, graphs=True)
     assert evaluate(index, base, queries, 5, 2, "hnsw")["recall"] >= 0.95
     assert index.graphs.where("level = 0").agg(F.max(F.size("neighbors"))).first()[0] <= 16
+    # What is appended is found through graphs beside those that are there.
+    more = index.append(frame(base.sparkSession, q, first=5000))
+    assert more.graphs.where("level = 0").count() == 320 and more.graphs.join(index.graphs, ["shard_id", "segment"], "left_anti").where("level = 0").count() == 20
+    assert ids(more.search(queries, 1, 2, "hnsw")) == [[5000 + i] for i in range(20)]
 
 
 def test_hnsw_visits_the_nearest_segments(spark):
