@@ -13,6 +13,7 @@ from .operators.evaluation import timing_report
 from .plans.index import Options, ShardedIndex, evaluate
 from .shared import shared_dir
 from .sources.fvecs import export_shards, read_fvecs
+from .sources.results import write_csv
 from .streaming.batches import in_batches, run_batches, stream_search
 
 
@@ -76,7 +77,7 @@ def main(argv: list[str] | None = None) -> None:
         print(json.dumps(batched(index, queries, max(1, a.bs), a.k, a.nprobe, a.method, a.pipeline)))
     print(json.dumps(evaluate(index, base, queries, a.k, a.nprobe, a.method, a.ef_search or None)))
     if a.csv:
-        index.search(queries, a.k, a.nprobe, a.method).select(F.col("qid").alias("query_id"), "rank", F.col("vec_id").alias("label"), F.col("dist").alias("distance")).write.mode("overwrite").option("header", True).csv(a.csv)
+        write_csv(index.search(queries, a.k, a.nprobe, a.method), a.csv)
 
 
 if __name__ == "__main__":

@@ -17,7 +17,8 @@ from ..operators import clustering, evaluation, merging, routing
 from ..operators.scan import exact_knn, merge_topk, pad_topk, routed_scan
 from ..shared import shared_dir
 from ..sources.fvecs import export_shards, read_fvecs, write_fvecs
-from ..streaming.batches import batched_search, stream_search
+from ..sources.results import write_csv
+from ..streaming.batches import batched_search, run_batches, stream_search
 from .index import Options, ShardedIndex
 
 EVERY, K, CLUSTERS, ROUNDS, POWER = 100, 10, 4, 3, 120
@@ -263,9 +264,28 @@ def recall_at_k(spark, d):
 
 
 def batched_knn(spark, d):
+    return _rounded(batched_search(_label_index(spark, d), _queries(spark, d), 2, K, 1), "dist")
+
+
+def _label_index(spark, d) -> ShardedIndex:
+    """Shards by labels, routed by their means."""
     base = _base(spark, d)
-    index = ShardedIndex(Options(), V.check_dimension(base), base.withColumn("is_replica", F.lit(False)), np.arange(2), _means(spark, d))
-    return _rounded(batched_search(index, _queries(spark, d), 2, K, 1), "dist")
+    return ShardedIndex(Options(), V.check_dimension(base), base.withColumn("is_replica", F.lit(False)), np.arange(2), _means(spark, d))
+
+
+def timing(spark, d):
+    """The timing sums of a search in batches of two."""
+    timings = [t for _, t in run_batches(_label_index(spark, d), _queries(spark, d), 2, K, 1)]
+    report = evaluation.timing_report(spark.createDataFrame(timings, "batch_id long, n_queries long, seconds double, idle double"))
+    return report.select("batches", "queries", (F.col("seconds") > 0).alias("timed"), (F.abs(F.col("avg_seconds") * F.col("batches") - F.col("seconds")) < 1e-9).alias("mean_fits"))
+
+
+def csv_log(spark, d):
+    """Search results written as CSV with a header and read again."""
+    folder = _folder(spark)
+    write_csv(_label_index(spark, d).search(_queries(spark, d), K, 2), folder)
+    back = spark.read.option("header", True).schema("query_id long, rank int, label long, distance double").csv(folder)
+    return _rounded(back, "distance")
 
 
 def incremental_add(spark, d):
@@ -399,9 +419,7 @@ def stream_knn(spark, d):
     folder = _folder(spark)
     _queries(spark, d).repartition(3).write.parquet(f"{folder}/queries")
     stream = spark.readStream.schema("qid long, embedding array<float>").option("maxFilesPerTrigger", 1).parquet(f"{folder}/queries")
-    base = _base(spark, d)
-    index = ShardedIndex(Options(), V.check_dimension(base), base.withColumn("is_replica", F.lit(False)), np.arange(2), _means(spark, d))
-    query, _ = stream_search(index, stream, f"{folder}/out", f"{folder}/state", K, 1)
+    query, _ = stream_search(_label_index(spark, d), stream, f"{folder}/out", f"{folder}/state", K, 1)
     query.awaitTermination()
     return _rounded(spark.read.parquet(f"{folder}/out").select("qid", "rank", "vec_id", "dist"), "dist")
 
@@ -553,6 +571,8 @@ ORACLES: dict[str, str] = {
     "shard_candidates": f"{_W}, p AS (SELECT qid, vec_id, shard_id, pow(list_distance(q.v, b.v), 2) AS dist, row_number() OVER (PARTITION BY qid, shard_id ORDER BY list_distance(q.v, b.v), vec_id) AS rank FROM q, b) SELECT qid, CAST(rank AS INT) AS rank, vec_id, round(dist, 6) AS dist, shard_id FROM p WHERE rank <= 3",
     "recall_at_k": f"{_W}{_MEANS}{_ROUTE}, g AS (SELECT qid, vec_id FROM ({_sharded_sql(1)}) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) <= {K}), t AS (SELECT qid, vec_id FROM ({_ALL_PAIRS}) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) <= {K}) SELECT count(*) AS hits, round(count(*) / ({K}.0 * (SELECT count(*) FROM q)), 6) AS recall FROM g JOIN t USING (qid, vec_id)",
     "batched_knn": _knn(_sharded_sql(1), extra=_MEANS + _ROUTE, cols="(SELECT CAST(floor((count(*) - 1) / 2) AS BIGINT) FROM q WHERE q.qid <= p.qid) AS batch_id, qid, CAST(rank AS INT) AS rank, vec_id, round(dist, 6) AS dist"),
+    "timing": f"{_W} SELECT CAST(ceil(count(*) / 2) AS BIGINT) AS batches, count(*) AS queries, true AS timed, true AS mean_fits FROM q",
+    "csv_log": _knn(_sharded_sql(2), extra=_MEANS + _ROUTE, cols="qid AS query_id, CAST(rank AS INT) AS rank, vec_id AS label, round(dist, 6) AS distance"),
     "stream_knn": _knn(_sharded_sql(1), extra=_MEANS + _ROUTE),
     "incremental_add": f"{_W}{_MEANS}{_ROUTE} SELECT shard_id, count(*) AS n_vectors, count(*) AS n_rows_physical FROM (SELECT shard_id FROM b UNION ALL SELECT shard_id FROM rt WHERE r = 1) GROUP BY shard_id",
     "shard_export": f"{_W} SELECT shard_id, count(*) AS n_vectors, round(sum(list_sum(v)), 4) AS total FROM b GROUP BY shard_id",
@@ -566,7 +586,7 @@ QUERIES = {
     for f in (
         knn_exact_l2, knn_exact_ip, knn_ties, topk_padded, range_filter, vector_functions, query_limit, shard_means, weighted_mean, kmeans_lloyd, nearest_centroid, cluster_sizes, cluster_stats,
         farthest_pair, pca_bisection, cluster_to_shard, greedy_min, greedy_centroid, hash_partition, shard_sizes, assign_top2, boundary_vectors, boundary_replicas, local_global_ids,
-        route_nprobe1, route_nprobe2, route_fine, route_all, queries_per_shard, sharded_knn_nprobe1, sharded_knn_nprobe2, sharded_knn_nested, shard_candidates, recall_at_k, batched_knn,
+        route_nprobe1, route_nprobe2, route_fine, route_all, queries_per_shard, sharded_knn_nprobe1, sharded_knn_nprobe2, sharded_knn_nested, shard_candidates, recall_at_k, batched_knn, timing, csv_log,
         incremental_add, index_search, index_recall, index_greedy, index_kmeans, index_subcluster_router, index_sample_router, index_save_load, index_reset, validation, hnsw_knn, fvecs_roundtrip, shard_export, stream_knn,
     )
 }
