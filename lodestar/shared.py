@@ -44,8 +44,15 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def save(self, df: DataFrame, compression: str = "zstd", by: tuple[str, ...] = ()) -> DataFrame:
-        """``df`` as written; ``by`` are columns that its folders are named after, so that filters on them read less."""
+    def save(self, df: DataFrame, compression: str = "zstd", by: tuple[str, ...] = (), few: bool = False) -> DataFrame:
+        """``df`` as written; ``by`` are columns that its folders are named after, so that filters on them read less.
+
+        With ``few``, for tables of keys and counts that Spark alone makes, a file takes eight of the shuffle's
+        partitions, one after the other: hundreds of files of a few rows cost the file system more than the rows do.
+        """
+        if few:
+            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            df = df.coalesce(max(min(n, 4), n // 8))
         path = f"{self.root}/{self.n}"
         self.n += 1
         df.write.option("compression", compression).partitionBy(*by).parquet(path)
