@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,23 @@ class Aside:
         return out.select(*[F.col(n).alias(c) for c, n in zip(self.own, self.names, strict=True) if c.lower() not in made], *results)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, after which a worker gives free memory back to the system.
+
+    Workers stay for later tasks of any operator; what each kept of its largest task would add up on an executor.
+    """
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the C library of Linux has it
+                trim(0)
+
+    return tidied
+
+
 def text_blocks(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, pa.Array]]:
     """(first row, texts) of runs of rows with up to about ``most`` bytes, one row at least, nulls as empty texts."""
     if texts.null_count:
@@ -59,21 +77,21 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> Data
     factor a round. ``root`` names the component; it is not its smallest vertex. Every round reads and writes tables
     in the shared folder, never a growing plan.
     """
-    edges = scratch.save(edges.select("a", "b").where("a <> b").distinct())
+    edges = scratch.save(edges.select("a", "b").where("a <> b").distinct(), few=True)
     labels = None
     key = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
     for _ in range(max_rounds):
         both = edges.select("a", key("b").alias("k")).unionByName(edges.select(F.col("b").alias("a"), key("a").alias("k")))
         step = both.groupBy("a").agg(F.min("k").alias("k")).select(F.col("a").alias("v"), F.least("k", key("a"))["v"].alias("m"))
-        step = scratch.save(step)
+        step = scratch.save(step, few=True)
         if labels is None:
             labels = step.withColumnRenamed("m", "root")
         else:
             old = labels
-            labels = scratch.save(old.join(step.withColumnRenamed("v", "root"), "root", "left").select("v", F.coalesce("m", "root").alias("root")))
+            labels = scratch.save(old.join(step.withColumnRenamed("v", "root"), "root", "left").select("v", F.coalesce("m", "root").alias("root")), few=True)
         a, b = step.select(F.col("v").alias("a"), F.col("m").alias("x")), step.select(F.col("v").alias("b"), F.col("m").alias("y"))
         after = edges.join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        edges = scratch.save(after)
+        edges = scratch.save(after, few=True)
         if edges.isEmpty():
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import Scratch, text_blocks
+from .common import Scratch, text_blocks, tidy
 
 SEQUENCE = 2048
 #: Bins open at once, and pieces that one packing task takes.
@@ -198,7 +198,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, end
                 cols = [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc))]
                 yield pa.RecordBatch.from_arrays([*cols, *[pa.array(kept, pa.binary())] * with_ids], names=["_id", "piece", "start", "length", "ids_crc32", *["_ids"] * with_ids])
 
-    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(tidy(run), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, open_bins: int = OPEN_BINS, task_pieces: int = TASK_PIECES, end_id: int = 0, text: str = "text", id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -226,4 +226,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, o
             yield pa.RecordBatch.from_arrays(out, names=[id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids])
 
     order = [F.xxhash64("_id", "piece", "ids_crc32"), "_id", "piece", "ids_crc32", "length"]
-    return pieces.repartition(tasks).sortWithinPartitions(*order).mapInArrow(run, schema)
+    return pieces.repartition(tasks).sortWithinPartitions(*order).mapInArrow(tidy(run), schema)

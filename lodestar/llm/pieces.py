@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from .common import Aside, text_blocks
+from .common import Aside, text_blocks, tidy
 
 SPACE = "▁"
 #: Added to the lowest score for a character without a piece.
@@ -182,7 +182,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
                 ids = [None if null[at + i] else np.frombuffer(m.encode_bytes(t), "<i4") for i, t in enumerate(texts.to_pylist())]
                 yield pa.RecordBatch.from_arrays([*b.slice(at, len(ids)).columns[:-1], pa.array(ids, pa.list_(pa.int32()))], names=schema.names)
 
-    return aside.back(rows.mapInArrow(run, schema), "ids")
+    return aside.back(rows.mapInArrow(tidy(run), schema), "ids")
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -200,7 +200,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...
                 texts = [m.decode(x.values.to_pylist()) if x.is_valid else None for x in part.column(b.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=schema.names)
 
-    return aside.back(rows.mapInArrow(run, schema), "text")
+    return aside.back(rows.mapInArrow(tidy(run), schema), "text")
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -228,4 +228,4 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", keep: tuple[str,
                 cols = [pa.array(c, pa.bool_() if i == 3 else pa.int64()) for i, c in enumerate(zip(*out, strict=True))]
                 yield pa.RecordBatch.from_arrays([*b.slice(at, len(out)).columns[:-1], *cols], names=schema.names)
 
-    return aside.back(rows.mapInArrow(run, schema), *kinds)
+    return aside.back(rows.mapInArrow(tidy(run), schema), *kinds)

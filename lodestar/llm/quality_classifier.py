@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import Aside, Scratch, text_blocks
+from .common import Aside, Scratch, text_blocks, tidy
 
 FEATURES = ("log_words", "mean_word", "symbol_rate", "distinct_rate", "stutter_rate", "dup_line_rate", "digit_rate", "upper_rate", "short_rate", "end_rate", "letter_rate", "words_per_line")
 SYMBOL = re.compile(r"[#*$%&|<>{}\[\]\\^~=_@]")
@@ -97,7 +97,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, max_labelled: int = 20
                 yield pa.RecordBatch.from_arrays([b.column(0)[at : at + len(texts)], pa.array([features_of(t) for t in texts.to_pylist()], pa.list_(pa.float64()))], names=["y", "x"])
 
     rows = docs.select("doc_id", F.col(text).alias("_t")).join(F.broadcast(ids), "doc_id")
-    got = rows.select(F.col("_y").cast("int").alias("y"), "_t").mapInArrow(run, "y int, x array<double>").collect()
+    got = rows.select(F.col("_y").cast("int").alias("y"), "_t").mapInArrow(tidy(run), "y int, x array<double>").collect()
     x = np.array([r.x for r in got], np.float64).reshape(-1, len(FEATURES))
     return x, np.array([r.y for r in got], np.float64)
 
@@ -119,7 +119,7 @@ def with_evidence(docs: DataFrame, model: QualityModel, text: str = "text", keep
                 part = b.slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(m.evidence(x))], names=schema.names)
 
-    return aside.back(rows.mapInArrow(run, schema), "evidence")
+    return aside.back(rows.mapInArrow(tidy(run), schema), "evidence")
 
 
 def _logit(c: Column) -> Column:
@@ -144,12 +144,12 @@ def posterior(scored: DataFrame, scratch: Scratch) -> DataFrame:
     Null hosts and paths are sites of their own. All rates come from all rows; hot hosts are summed before the shuffle.
     """
     scored = scored.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("_host", "_path")})
-    paths = scratch.save(scored.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("evidence").alias("k")))
+    paths = scratch.save(scored.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("evidence").alias("k")), few=True)
     top = paths.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     rate = top.k / top.n if top.n else 0.5
     hosts = paths.groupBy("_host").agg(F.sum("n").alias("hn"), F.sum("k").alias("hk"))
     of_host = _strength(hosts, "hn", "hk", F.lit(rate))
-    both = scratch.save(paths.join(hosts, "_host"))
+    both = scratch.save(paths.join(hosts, "_host"), few=True)
     of_path = _strength(both.withColumn("host_rate", (F.col("hk") + of_host * rate) / (F.col("hn") + of_host)), "n", "k", F.col("host_rate"))
     if both.count() <= BROADCAST_SITES:
         both = F.broadcast(both)

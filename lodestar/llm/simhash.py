@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import Aside, Scratch, components
+from .common import Aside, Scratch, components, tidy
 
 BITS, BYTES, MAX_BITS = 64, 8, 2
 #: Bytes that two linked fingerprints share at least.
@@ -66,7 +66,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", words: int = WORDS, ke
             fp = np.array([fingerprint(t.as_py(), words) for t in b.column(b.num_columns - 1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=schema.names)
 
-    return aside.back(rows.mapInArrow(run, schema), "fp")
+    return aside.back(rows.mapInArrow(tidy(run), schema), "fp")
 
 
 def _byte(c: str, i: int) -> Column:
@@ -88,7 +88,7 @@ def near_pairs(prints: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS, ma
     if max_bits > MAX_BITS:
         raise ValueError("the index guarantees links of at most two bits")
     posted = prints.select("fp", F.inline(F.array(*[F.struct(F.lit(n).alias("table"), _posting("fp", a, b).alias("key")) for n, (a, b) in enumerate(COUPLES)])))
-    sizes = scratch.save(posted.groupBy("table", "key").count().where("count > 1"))
+    sizes = scratch.save(posted.groupBy("table", "key").count().where("count > 1"), few=True)
     small = sizes.where(F.col("count") <= max_posting).select("table", "key")
     met = posted.join(small, ["table", "key"])
     left, right = met.withColumnRenamed("fp", "a"), met.withColumnRenamed("fp", "b")
@@ -125,12 +125,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = WORDS, max
     aside = Aside((*keep, id_col))
     rows = docs.select(*aside.columns, F.col(id_col).alias("_id"), F.col(text).alias("_text"))
     rows = scratch.save(with_fingerprint(rows, "_text", words, (*aside.names, "_id")))
-    prints = scratch.save(rows.groupBy("fp").agg(F.min("_id").alias("first"), F.count("*").alias("n")))
+    prints = scratch.save(rows.groupBy("fp").agg(F.min("_id").alias("first"), F.count("*").alias("n")), few=True)
     roots = components(near_pairs(prints.select("fp"), scratch, max_bits, max_posting), scratch)
     member = prints.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    member = scratch.save(member)
+    member = scratch.save(member, few=True)
     total = member.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("group_size"))
-    known = scratch.save(member.select("fp", "root").join(total, "root").select("fp", "root", "component_id", "group_size"))
+    known = scratch.save(member.select("fp", "root").join(total, "root").select("fp", "root", "component_id", "group_size"), few=True)
     scratch.sweep()
     out = rows.join(known, "fp").withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
     return aside.back(out, "fp", "fingerprint", "component_id", "group_size", "root")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import Aside, Scratch, text_blocks
+from .common import Aside, Scratch, text_blocks, tidy
 from .gsaca import suffix_array
 
 LENGTH, GRAM = 200, 96
@@ -206,23 +206,23 @@ def repeats(rows: DataFrame, scratch: Scratch) -> DataFrame:
                     cols = once(*map(np.concatenate, (rid, pos, n, h)), np.array(f, np.uint64))
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["rid", "pos", "n", "h", "f", "c"])
 
-    found = scratch.save(rows.select("rid", "text").mapInArrow(find, "rid long, pos int, n int, h long, f long, c int"))
-    within = scratch.save(found.where("c = 0").select("rid", F.col("pos").alias("lo"), F.col("n").alias("hi")))
+    found = scratch.save(rows.select("rid", "text").mapInArrow(tidy(find), "rid long, pos int, n int, h long, f long, c int"))
+    within = scratch.save(found.where("c = 0").select("rid", F.col("pos").alias("lo"), F.col("n").alias("hi")), few=True)
     # Map-side sums shrink frequent anchors before the shuffle; what is met once goes.
     often = found.where("c > 0").groupBy("h").agg(F.sum("c").alias("c"), F.min("f").alias("f0"), F.max("f").alias("f1")).where("c > 1")
-    often = scratch.save(often.select("h", (F.col("f0") != F.col("f1")).alias("mixed")))
+    often = scratch.save(often.select("h", (F.col("f0") != F.col("f1")).alias("mixed")), few=True)
     scratch.sweep()
-    met = scratch.save(found.where("c > 0").join(often, "h").select("rid", "pos", "n", "h", "f", "c", "mixed"))
+    met = scratch.save(found.where("c > 0").join(often, "h").select("rid", "pos", "n", "h", "f", "c", "mixed"), few=True)
     scratch.drop(found)
     scratch.sweep()
     lo, hi = F.greatest(F.lit(0), F.col("pos") - REACH), F.least(F.col("n"), F.col("pos") + LENGTH)
     same = met.where("not mixed").select("rid", lo.alias("lo"), hi.alias("hi"))
     mixed = met.where("mixed")
     one = mixed.groupBy("h", "f").agg(F.sum("c").alias("m"), F.min(F.struct("rid", "pos")).alias("at"))
-    one = scratch.save(one.select("h", "f", "m", F.col("at.rid").alias("rid"), F.col("at.pos").alias("pos")))
+    one = scratch.save(one.select("h", "f", "m", F.col("at.rid").alias("rid"), F.col("at.pos").alias("pos")), few=True)
     parts = scratch.save(_surroundings(rows, one))
     scratch.sweep()
-    reach = scratch.save(_resolve(parts, scratch))
+    reach = scratch.save(_resolve(parts, scratch), few=True)
     scratch.drop(parts)
     scratch.sweep()
     there = mixed.join(reach, ["h", "f"]).select("rid", F.greatest(F.lit(0), F.col("pos") - F.col("left")).alias("lo"), F.least(F.col("n"), F.col("pos") + F.col("right")).alias("hi"))
@@ -244,7 +244,7 @@ def _surroundings(rows: DataFrame, one: DataFrame) -> DataFrame:
                     names=["h", "f", "m", "l", "r"],
                 )
 
-    return both.mapInArrow(cut, "h long, f long, m long, l binary, r binary")
+    return both.mapInArrow(tidy(cut), "h long, f long, m long, l binary, r binary")
 
 
 def _resolve(parts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -255,7 +255,7 @@ def _resolve(parts: DataFrame, scratch: Scratch) -> DataFrame:
     level = parts.select("h", "f", "l", "r", (F.col("m") > 1).alias("known"), F.col("h").alias("cell"), F.lit(0).alias("a"), F.lit(REACH + 1).alias("z"))
     while True:
         sizes = level.groupBy("cell").agg(F.count("*").alias("d"), F.min("known").alias("known")).where("d > 1 and not known")
-        sizes = scratch.save(sizes.select("cell", "d"))
+        sizes = scratch.save(sizes.select("cell", "d"), few=True)
         small.append(level.join(sizes.where(F.col("d") <= MAX_CELL).select("cell"), "cell").select("h", "f", "l", "r", "cell"))
         large = sizes.where(F.col("d") > MAX_CELL).select("cell")
         if large.isEmpty():
@@ -268,8 +268,8 @@ def _resolve(parts: DataFrame, scratch: Scratch) -> DataFrame:
         half = half.where("a < z").where((F.octet_length("l") >= F.col("a")) & (F.octet_length("r") >= need) & (F.octet_length("l") + F.octet_length("r") >= REACH))
         cell = F.xxhash64("above", "a", F.substring("l", F.lit(1), F.col("a")), F.substring("r", F.lit(1), need))
         half = half.select("h", "f", F.substring("l", F.lit(1), F.col("z") - 1).alias("l"), F.substring("r", F.lit(1), REACH - F.col("a")).alias("r"), "known", cell.alias("cell"), "a", "z")
-        half = scratch.save(half.withColumn("part", F.xxhash64("cell", "l", "r")))
-        one = scratch.save(half.groupBy("cell", "part").agg(F.count("*").alias("m"), F.max("known").alias("known"), *[F.min(c).alias(c) for c in ("h", "f", "l", "r", "a", "z")]))
+        half = scratch.save(half.withColumn("part", F.xxhash64("cell", "l", "r")), few=True)
+        one = scratch.save(half.groupBy("cell", "part").agg(F.count("*").alias("m"), F.max("known").alias("known"), *[F.min(c).alias(c) for c in ("h", "f", "l", "r", "a", "z")]), few=True)
         found.append(done(half.where("not known").join(one.where("m > 1").select("cell", "part"), ["cell", "part"])))
         level = one.select("h", "f", "l", "r", (F.col("known") | (F.col("m") > 1)).alias("known"), "cell", "a", "z")
     cells = small[0]
@@ -302,7 +302,7 @@ def _resolve(parts: DataFrame, scratch: Scratch) -> DataFrame:
         if wait:
             yield groups(pa.Table.from_batches(wait))
 
-    found.append(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "h long, f long, left int, right int"))
+    found.append(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(run), "h long, f long, left int, right int"))
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
@@ -324,7 +324,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
     # The written rows carry a number that no later step can change.
     rows = scratch.save(docs.select(*aside.columns, F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_rid", F.monotonically_increasing_id()))
     spans = repeats(rows.select(F.col("_rid").alias("rid"), F.col("_text").alias("text")), scratch)
-    spans = scratch.save(spans.groupBy(F.col("rid").alias("_rid")).agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("_spans")))
+    spans = scratch.save(spans.groupBy(F.col("rid").alias("_rid")).agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("_spans")), few=True)
     scratch.sweep()
     results = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["_kept"] * with_text]
     schema = rows.select(*aside.names).schema
@@ -356,5 +356,5 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
             kinds = [pa.int64()] * 3 + [pa.string()] * (1 + with_text)
             yield pa.RecordBatch.from_arrays([*b.columns[:k], *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=schema.names)
 
-    out = rows.join(spans, "_rid", "left").select(*aside.names, "_text", "_spans").mapInArrow(cut, schema)
+    out = rows.join(spans, "_rid", "left").select(*aside.names, "_text", "_spans").mapInArrow(tidy(cut), schema)
     return aside.back(out, *results)

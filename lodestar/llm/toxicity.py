@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from .common import Aside, Scratch, text_blocks
+from .common import Aside, Scratch, text_blocks, tidy
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 PREFIXES = (4, 5, 6)
@@ -204,4 +204,4 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple
                     cols.append(pa.array(where, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return aside.back(rows.mapInArrow(run, schema), "score", *["offending"] * locate)
+    return aside.back(rows.mapInArrow(tidy(run), schema), "score", *["offending"] * locate)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import Scratch, components
+from .common import Scratch, components, tidy
 
 #: Cells of more rows are dealt into blocks of about half as many, and each pair of blocks is a group of its own.
 MAX_CELL = 1024
@@ -163,7 +163,7 @@ def _links(good: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(v), which, pa.array(np.tile(np.arange(plan.tables, dtype=np.int32), part.num_rows)), pa.array(keys.ravel())], names=["v", "label", "table", "key"])
 
     kind = good.schema["label"].dataType.simpleString()
-    posted = scratch.save(good.select("v", "label", "x").mapInArrow(post, f"v long, label {kind}, table int, key long"))
+    posted = scratch.save(good.select("v", "label", "x").mapInArrow(tidy(post), f"v long, label {kind}, table int, key long"))
     cells = scratch.save(posted.groupBy("label", "table", "key").agg(F.count("*").alias("n")).where("n > 1"))
     met = posted.join(cells, ["label", "table", "key"])
     blocks = F.when(F.col("n") <= MAX_CELL, F.lit(1)).otherwise(F.ceil(2 * F.col("n") / MAX_CELL)).cast("int")
@@ -222,4 +222,4 @@ def _links(good: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
         if wait:
             yield groups(pa.Table.from_batches(wait))
 
-    return full.select("v", "table", "cell", "side", "copies", "x").mapInArrow(link, "v long, links long, root long")
+    return full.select("v", "table", "cell", "side", "copies", "x").mapInArrow(tidy(link), "v long, links long, root long")
