@@ -220,7 +220,7 @@ def repeats(rows: DataFrame, scratch: Scratch) -> DataFrame:
     mixed = met.where("mixed")
     one = mixed.groupBy("h", "f").agg(F.sum("c").alias("m"), F.min(F.struct("rid", "pos")).alias("at"))
     one = scratch.save(one.select("h", "f", "m", F.col("at.rid").alias("rid"), F.col("at.pos").alias("pos")), few=True)
-    parts = scratch.save(_surroundings(rows, one))
+    parts = scratch.save(_surroundings(rows, one), few=True)
     scratch.sweep()
     reach = scratch.save(_resolve(parts, scratch), few=True)
     scratch.drop(parts)
