@@ -76,3 +76,7 @@ def _same(spark, name, folder):
 
 def test_index_greedy_of_many_vectors_equals_sql(spark, many):
     assert _same(spark, "index_greedy", many)
+
+
+def test_index_kmeans_of_many_vectors_equals_sql(spark, many):
+    assert _same(spark, "index_kmeans", many)
