@@ -33,25 +33,32 @@ SEED, WORDS = 42, 3
 COUPLES = tuple(combinations(range(4), 2))
 
 
-def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
-    """SimHash of a whole text: A-Z lower-cased, words between ASCII white space, shingles with repeats.
-
-    Null or wordless texts give 0. Unsigned 64-bit XXH64 of each space-joined shingle; a bit is 1 if set in over half.
-    """
-    data = (text or "").encode().lower().split()
+def shingle_hashes(data: list[bytes], words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """Unsigned 64-bit XXH64 of each space-joined shingle, repeats included; fewer words than ``words`` are one shingle."""
     if not data:
-        return 0
-    joined = b" ".join(data)
+        return np.zeros(0, np.uint64)
+    joined, k = b" ".join(data), min(words, len(data))
     ends = np.cumsum([len(w) + 1 for w in data]) - 1
-    k = min(words, len(data))
     starts = [0, *(ends[: len(data) - k] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    total, n = np.zeros(BITS, np.int64), len(starts)
-    stops = ends[k - 1 :].tolist()
-    for a in range(0, n, 1 << 16):  # the bits of a very long text in blocks
-        h = np.array([digest(joined[i:j], seed) for i, j in zip(starts[a : a + (1 << 16)], stops[a : a + (1 << 16)], strict=True)], dtype=">u8")
+    return np.fromiter((digest(joined[i:j], seed) for i, j in zip(starts, ends[k - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    total = np.zeros(BITS, np.int64)
+    for a in range(0, len(hashes), 1 << 16):  # the bits of a very long text in blocks
+        h = hashes[a : a + (1 << 16)].astype(">u8")
         total += np.unpackbits(h.view(np.uint8).reshape(-1, BYTES), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
+    """SimHash of a whole text: A-Z lower-cased, words between ASCII white space, shingles with repeats.
+
+    Null or wordless texts give 0.
+    """
+    return majority(shingle_hashes((text or "").encode().lower().split(), words, seed))
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", words: int = WORDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

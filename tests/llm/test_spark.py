@@ -588,6 +588,36 @@ def test_near_dedup_stage_drops_verified_near_copies(spark, posting, monkeypatch
     assert corpus_pipeline.simhash(spark, df.limit(0), "").count() == 0
 
 
+def test_near_dedup_stage_goes_through_fingerprints(spark, monkeypatch):
+    """The stage asks SimHash's index, and without any band joins all pairs within two bits that are similar enough."""
+    import corpus_pipeline
+
+    rng = random.Random(18)
+    docs = [prose(rng, 400, 3000) for _ in range(20)]
+    for i in range(20):
+        w = docs[i].split()
+        w[rng.randrange(5, 395)] = "changed"
+        docs.append(" ".join(w))
+    docs += [docs[0].upper(), "one two", "one three", "", None]
+    fps = [simhash.fingerprint(d, 5) for d in docs]
+    sets = [near_copies.shingles((d or "").encode().lower().split()) for d in docs]
+    first = list(range(len(docs)))
+    for _ in range(4):
+        for i in range(len(docs)):
+            for j in range(i):
+                if (fps[i] ^ fps[j]).bit_count() <= 2 and near_copies.similarity(sets[i], sets[j]) >= 0.8:
+                    first[i] = first[j] = min(first[i], first[j])
+    assert 5 <= sum(first[i] == i - 20 for i in range(20, 40)) < 20
+    rows = [(i, t, "en", "s", None) for i, t in enumerate(docs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = near_copies.near_copies(df, bands=0).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(first))
+    asked = []
+    monkeypatch.setattr(near_copies, "near_pairs", lambda *a, **k: asked.append(1) or simhash.near_pairs(*a, **k))
+    kept = {r.doc_id for r in corpus_pipeline.simhash(spark, df, "").collect()}
+    assert asked and kept == {*range(20), 41, 42, 43}
+
+
 def test_stages_leave_clashing_columns_alone(spark, tmp_path):
     import corpus_pipeline
 
