@@ -264,6 +264,19 @@ def test_chaining_inside_a_document_and_through_common_phrases(spark):
     assert {r.doc_id for r in rows} == {0, *pair}
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_chaining_meets_later_documents_whose_passage_earlier_ones_own_in_parts(spark, parts):
+    rng = random.Random(17)
+    shared = prose(rng, 80, 3000).split()
+    around = lambda words: " ".join([*prose(rng, 30, 3000).split(), *words, *prose(rng, 30, 3000).split()])
+    docs = [around(shared[:46]), around(shared[34:]), around(shared), around(shared)]  # no seed is new in the last two
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").coalesce(1)
+    df = df if parts == 1 else df.repartitionByRange(parts, "doc_id")
+    rows = chaining.passages(df).collect()
+    assert {(r.doc_id, r.owner_id) for r in rows if r.doc_id != r.owner_id} == {(3, 2)}
+    assert any(r.doc_id == 3 and r.end_word - r.start_word >= 78 and r.similarity >= 0.97 for r in rows)
+
+
 @pytest.mark.parametrize("words", [60, 100])
 def test_chaining_recall_by_similarity(spark, words):
     """Passages inside unrelated text, with regular and random changes: nine in ten of those of similarity 0.8 are found."""
